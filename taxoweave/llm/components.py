@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .scratch import drop, keep
@@ -27,6 +27,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges, and their number and sum of hashes, observed while they were written."""
+    seen = Observation()
+    marked = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    return keep(marked, "edges"), (seen.get["n"], seen.get["h"])
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every end of an edge of ``edges`` (u, v); component is its least node.
 
@@ -34,13 +41,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     with no other edge isn't in the result. No edges: an empty result. Each round is written to
     the shared folder; the loop ends when a round changes nothing.
     """
-    now = keep(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    seen = mark(now)
+    now, seen = _kept(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(most_rounds if seen[0] else 0):
-        new = keep(_small_star(_large_star(now)), "edges")
-        drop(now)
-        now, was, seen = new, seen, mark(new)
+        was, old = seen, now
+        now, seen = _kept(_small_star(_large_star(old)))
+        drop(old)
         if was == seen:
             break
     else:

@@ -20,3 +20,13 @@ def repeats_ids(docs: DataFrame) -> bool:
 def row_mark(docs: DataFrame, column: str = "text"):
     """What tells rows of one doc_id apart: nothing where ids don't repeat, else the text's hash."""
     return F.xxhash64(column) if repeats_ids(docs) else F.lit(0).cast("long")
+
+
+def filled(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Null ids as 0 with a mark, since pandas would turn a column with nulls into floats."""
+    return df.withColumn("__no_id", F.col(column).isNull()).withColumn(column, F.coalesce(F.col(column).cast("long"), F.lit(0).cast("long")))
+
+
+def unfilled(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The nulls of filled() again."""
+    return df.withColumn(column, F.when(~F.col("__no_id"), F.col(column))).drop("__no_id")

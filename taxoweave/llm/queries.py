@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, substring, urlfilter
+from . import jaccard, mixing, packing, substring, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_url_filters": urlfilter.op2_url_filters,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
         "op9_mixing": mixing.op9_mixing,
     }
 
@@ -17,5 +19,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring.ORACLE,
         "op2_url_filters": urlfilter.ORACLE,
+        "op8_ngram_jaccard": jaccard.ORACLE,
         "op9_mixing": mixing.ORACLE,
     }

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .inputs import row_mark, spread
+from .inputs import filled, row_mark, spread, unfilled
 from .sketch import cell_bits, repeated
 from .words import BASE_2, Rolling, WordHashes, split
 
@@ -100,7 +100,7 @@ def _apply(batches: Iterable[pd.DataFrame], width: int, names: list[str]) -> Ite
             changed = len(left) < len(words)
             rows.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), (joined.decode("utf-8", "surrogatepass") if changed else text) if "kept_text" in names else None))
         new = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept_text"], index=pdf.index)
-        yield pd.concat([pdf.drop(columns=["__text", "__starts"]), new[[c for c in new if c in names]]], axis=1)
+        yield pd.concat([pdf[["doc_id", "__no_id"]], new[[c for c in new if c in names]]], axis=1)
 
 
 def dedup_substrings(docs: DataFrame, width: int = WINDOW, text: bool = True) -> DataFrame:
@@ -116,9 +116,9 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, text: bool = True) ->
     own = spread(docs.select("doc_id", "text")).withColumn("mark", row_mark(docs))
     starts = repeated_windows(own, width).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
     joined = own.join(starts, (F.col("doc_id") == F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("doc_id", F.col("text").alias("__text"), "__starts")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if text else "")
+    schema = "doc_id long, __no_id boolean, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if text else "")
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * text
-    return joined.mapInPandas(partial(_apply, width=width, names=names), schema)
+    return unfilled(filled(joined).mapInPandas(partial(_apply, width=width, names=names), schema))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
