@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, substring, urlfilter
+from . import jaccard, mixing, packing, quality, substring, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_url_filters": urlfilter.op2_url_filters,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_quality_classifier": quality.op6_quality_classifier,
         "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
         "op9_mixing": mixing.op9_mixing,
     }
