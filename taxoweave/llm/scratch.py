@@ -7,6 +7,7 @@ share, so a lost executor never takes an intermediate result with it.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +60,12 @@ def _clear() -> None:
             _delete(spark, path)
         except Exception:  # the session has ended; the folder's owner cleans it
             return
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that nothing refers to any more.
+
+    Its cleaner acts when the driver's JVM collects garbage, which an idle heap can put off for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .inputs import filled, row_mark, spread, unfilled
+from .scratch import release
 from .sketch import cell_bits, repeated
 from .words import BASE_2, Rolling, WordHashes, split
 
 WINDOW = 50
-#: Windows that the sketch estimates this often are grouped with partial sums instead of side by side.
-HOT = 2048
-_ROWS = 400_000
+#: Candidate windows that a task compares among its own documents before it sends them on.
+TOGETHER = 1_500_000
 
 
 def _window_hashes(batches: Iterable[pd.DataFrame], width: int) -> Iterator[np.ndarray]:
@@ -29,14 +29,40 @@ def _window_hashes(batches: Iterable[pd.DataFrame], width: int) -> Iterator[np.n
             yield np.unique(roll.of(known.of(split(text))))
 
 
+def _runs(starts: np.ndarray) -> np.ndarray:
+    """Sorted starts as first and last of each unbroken run."""
+    cut = np.flatnonzero(np.diff(starts) > 1)
+    return np.stack([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)]], axis=1).ravel()
+
+
+def _own_repeats(k, more, doc_id, mark) -> pd.DataFrame:
+    """What a task's candidates ask of the others, and what they settle among themselves.
+
+    Of each window only the rows of the task's smallest doc_id are sent on by its hash: the others
+    have an earlier document here already and go on as runs, a row for each document. So a window
+    that a third of all documents hold costs a row for each task.
+    """
+    high = more >> np.uint64(32)
+    order = np.lexsort((doc_id, high, k))
+    k, more, high, doc_id, mark = (x[order] for x in (k, more, high, doc_id, mark))
+    new = np.append(True, (k[1:] != k[:-1]) | (high[1:] != high[:-1]))
+    least = doc_id[np.flatnonzero(new)][np.cumsum(new) - 1]
+    late = np.flatnonzero(doc_id > least)
+    ask = np.flatnonzero(doc_id == least)
+    rows = pd.DataFrame({"k": k[ask].view(np.int64), "more": more[ask].view(np.int64), "doc_id": doc_id[ask], "mark": mark[ask], "runs": None})
+    start = (more[late] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    by_doc = np.lexsort((start, mark[late], doc_id[late]))
+    start, ids, marks = start[by_doc], doc_id[late][by_doc], mark[late][by_doc]
+    cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(marks) != 0)) + 1
+    at = np.concatenate([[0], cuts]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+    found = [_runs(x).astype(np.int32) for x in np.split(start, cuts)] if len(ids) else []
+    done = pd.DataFrame({"k": ids[at], "more": 0, "doc_id": ids[at], "mark": marks[at], "runs": found})
+    return pd.concat([rows, done], ignore_index=True) if len(done) else rows
+
+
 def _candidates(batches: Iterable[pd.DataFrame], width: int, sketch) -> Iterator[pd.DataFrame]:
     known, roll, roll_2, marks = WordHashes(), Rolling(width), Rolling(width, BASE_2), sketch.value
     parts, n = [], 0
-
-    def flush():
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        return pd.DataFrame(dict(zip(("k", "more", "doc_id", "mark", "hot"), cols, strict=True)))
-
     for pdf in batches:
         for doc_id, mark, text in zip(pdf["doc_id"], pdf["mark"], pdf["text"], strict=True):
             hashes = known.of(split(text))
@@ -47,55 +73,50 @@ def _candidates(batches: Iterable[pd.DataFrame], width: int, sketch) -> Iterator
             two = roll_2.of(hashes * np.uint64(0xFF51AFD7ED558CCD) ^ hashes >> np.uint64(29))[at]
             # 64 bits of one hash and 32 of another name the window; the low 32 say where it starts
             more = (two & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-            parts.append((one[at].view(np.int64), more.view(np.int64), np.full(len(at), doc_id, np.int64), np.full(len(at), mark, np.int64), marks.hot(one[at])))
+            parts.append((one[at], more, np.full(len(at), doc_id, np.int64), np.full(len(at), mark, np.int64)))
             n += len(at)
-            if n >= _ROWS:
-                yield flush()
+            if n >= TOGETHER:
+                yield _own_repeats(*map(np.concatenate, zip(*parts, strict=True)))
                 parts, n = [], 0
     if parts:
-        yield flush()
+        yield _own_repeats(*map(np.concatenate, zip(*parts, strict=True)))
 
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(doc_id, mark, starts): where the windows begin that some document with a smaller id has too.
+    """(doc_id, mark, runs): from where to where windows begin that some document with a smaller id has too.
 
     Every task counts its windows in a count-min sketch; the sketches are merged and sent back. A
-    second pass sends on only windows whose estimate is two or more. As estimates are never too
-    low, all truly repeated windows are among them; grouping these by 96 bits of two independent
-    hashes of the word sequence finds the smallest doc_id that has each. Windows that the sketch
-    calls hot are grouped by partial sums and brought back by a join that can be split.
+    second pass keeps only windows whose estimate is two or more. As estimates are never too low,
+    all truly repeated windows are among them. What a task's own documents settle is settled there;
+    the rest are grouped by 96 bits of two independent hashes of the word sequence, which finds the
+    smallest doc_id that has each.
     """
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "mark", "text")
-    bits = cell_bits(texts, "text")
-    sketch = repeated(texts.select("text"), partial(_window_hashes, width=width), bits, HOT)
-    found = texts.mapInPandas(partial(_candidates, width=width, sketch=sketch), "k long, more long, doc_id long, mark long, hot boolean")
-    high = F.shiftright("more", 32)
-    common = Window.partitionBy("k", "hi")
-    usual = found.where("not hot").withColumn("hi", high).withColumn("first", F.min("doc_id").over(common)).where("first < doc_id").select("doc_id", "mark", "more")
-    hot = found.where("hot").withColumn("hi", high)
-    first = hot.groupBy("k", "hi").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    often = hot.join(first, ["k", "hi"]).where("first < doc_id").select("doc_id", "mark", "more")
-    starts = F.collect_set((F.col("more").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int")).alias("starts")
-    return usual.unionByName(often).groupBy("doc_id", "mark").agg(starts)
-
-
-def kept(words: list[bytes], starts, width: int) -> list[bytes]:
-    """The words that no window from ``starts`` covers."""
-    if starts is None or not len(starts):
+    sketch = repeated(texts.select("text"), partial(_window_hashes, width=width), cell_bits(texts, "text"), 1 << 30)
+    release(docs.sparkSession)
+    found = texts.mapInPandas(partial(_candidates, width=width, sketch=sketch), "k long, more long, doc_id long, mark long, runs array<int>")
+    same = Window.partitionBy("k", F.shiftright("more", 32))
+    first = F.min(F.when(F.col("runs").isNull(), F.col("doc_id"))).over(same)
+    hit = found.withColumn("first", first).where("runs is not null or first < doc_id")
+    start = F.col("more").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return hit.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(F.coalesce("runs", F.array(start, start)))).alias("runs"))
+
+
+def kept(words: list[bytes], runs, width: int) -> list[bytes]:
+    """The words that no window of ``runs`` (first start, last start, ...) covers."""
+    if runs is None or not len(runs):
         return words
-    edge = np.zeros(len(words) + 1, np.int64)
-    at = np.asarray(starts, np.int64)
-    edge[at] += 1
-    edge[at + width] -= 1
+    at = np.asarray(runs, np.int64)
+    edge = np.bincount(at[::2], minlength=len(words) + 1) - np.bincount(at[1::2] + width, minlength=len(words) + 1)
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
 
 
 def _apply(batches: Iterable[pd.DataFrame], width: int, names: list[str]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for text, starts in zip(pdf["__text"], pdf["__starts"], strict=True):
+        for text, runs in zip(pdf["__text"], pdf["__runs"], strict=True):
             words = split(text)
-            left = kept(words, starts, width)
+            left = kept(words, runs, width)
             joined = b" ".join(left)
             changed = len(left) < len(words)
             rows.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), (joined.decode("utf-8", "surrogatepass") if changed else text) if "kept_text" in names else None))
@@ -114,8 +135,8 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, text: bool = True) ->
     earlier than each other. Every word of a text counts, however long it is.
     """
     own = spread(docs.select("doc_id", "text")).withColumn("mark", row_mark(docs))
-    starts = repeated_windows(own, width).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
-    joined = own.join(starts, (F.col("doc_id") == F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("doc_id", F.col("text").alias("__text"), "__starts")
+    runs = repeated_windows(own, width).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("runs").alias("__runs"))
+    joined = own.join(runs, (F.col("doc_id") == F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("doc_id", F.col("text").alias("__text"), "__runs")
     schema = "doc_id long, __no_id boolean, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if text else "")
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * text
     return unfilled(filled(joined).mapInPandas(partial(_apply, width=width, names=names), schema))
