@@ -21,7 +21,7 @@ BLOCK, TOGETHER = 4096, 256
 #: Bounds of the pivot index, whatever the number of vectors; the pivots come from a sample of bounded size.
 PIVOTS, RINGS, SAMPLE = 64, 16, 4096
 #: Trees of the forest, bits of a hash string, vectors in a shard, and the share of a shard at which the ascent ends.
-TREES, BITS, SHARD, SHARE = 64, 32, 16384, 0.36
+TREES, BITS, SHARD, SHARE = 64, 32, 16384, 0.8
 
 
 def usable(rows: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
