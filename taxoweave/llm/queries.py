@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, substring, urlfilter, vectors
+from . import jaccard, katz, licenses, mixing, packing, quality, substring, urlfilter, vectors
 
 
 def queries() -> dict:
@@ -13,8 +13,10 @@ def queries() -> dict:
         "op4_hash_prefix_forest": vectors.op4_hash_prefix_forest,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_quality_classifier": quality.op6_quality_classifier,
+        "op7_katz_scores": katz.op7_katz_scores,
         "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
         "op9_mixing": mixing.op9_mixing,
+        "op10_license_scans": licenses.op10_license_scans,
     }
 
 

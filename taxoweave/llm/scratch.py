@@ -7,9 +7,10 @@ share, so a lost executor never takes an intermediate result with it.
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +30,24 @@ def folder(spark: SparkSession) -> str:
     return named
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """An action inside deletes its shuffle files when it ends: its result lies elsewhere by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -63,9 +77,5 @@ def _clear() -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that nothing refers to any more.
-
-    Its cleaner acts when the driver's JVM collects garbage, which an idle heap can put off for long.
-    """
-    gc.collect()
+    """Let Spark delete the shuffle files of results that nothing refers to any more."""
     spark._jvm.System.gc()

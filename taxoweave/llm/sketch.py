@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import tidy
 from .words import mixed
 
 #: Cells of one block; a merging task holds the counters of one block at a time.
@@ -137,7 +138,9 @@ def repeated(table: DataFrame, arrays, bits: int, hot: int):
     size = 1 << min(bits, BLOCK_BITS)
     rows, marks = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)], np.zeros(((1 << bits) >> FOLD) // 8, np.uint8)
     unpack = zstandard.ZstdDecompressor()
-    for r in merged.collect():
+    with tidy(spark):
+        found = merged.collect()
+    for r in found:
         rows[r.row][r.block * size // 8 : (r.block + 1) * size // 8] = np.frombuffer(unpack.decompress(bytes(r.repeated)), np.uint8)
         if r.row == 0:
             marks[(r.block * size >> FOLD) // 8 : ((r.block + 1) * size >> FOLD) // 8] = np.frombuffer(unpack.decompress(bytes(r.hot)), np.uint8)
