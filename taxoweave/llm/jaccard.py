@@ -232,6 +232,17 @@ def _counted(batches: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFra
         yield pd.DataFrame({"doc_id": pd.array([None] * len(pdf), "Int64"), "n_shingles": [len(shingles(x, known, rolls, width)) for x in pdf["text"]], "class_id": pd.array([None] * len(pdf), "Int64"), "component_id": pd.array([None] * len(pdf), "Int64")})
 
 
+def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs without those that links or equal sets join to a smaller doc_id.
+
+    Rows without a doc_id stay; of repeated rows with one doc_id and text one stays."""
+    later = linked_components(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    left = docs.join(later, F.col("doc_id") == F.col("__id"), "left_anti")
+    if repeats_ids(docs):
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    return left
+
+
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "class_id")
 

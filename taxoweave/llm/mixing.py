@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import keep
+
 #: A word is a run of anything but space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the contract: weights repeat in this order over the sources.
@@ -45,6 +47,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return level.select("source", "source_size", target.alias("target")).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
 
 
+#: Sources whose rates are sent to all tasks: some megabytes. Beyond this the join is by key.
+SENT = 100_000
+
+
+def _rates(sizes: DataFrame) -> DataFrame:
+    rates = keep(source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))), "rates")
+    few, rates = rates.count() <= SENT, rates.withColumnRenamed("source", "__source")
+    return rates.hint("broadcast") if few else rates
+
+
 def seeded_fraction(seed: str, *keys: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the keys only: 52 bits of an MD5 digest."""
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
@@ -59,15 +71,14 @@ def mix(docs: DataFrame, seed: str = "mix", key: str = "doc_id") -> DataFrame:
     once more if its seeded number lies below the rate's fraction. Null text has no words; a null
     source is a source of its own, last in order. A null doc_id draws by its empty name; repeated
     rows with the same id draw alike. Sources without words have target 0 and rate 0. The join
-    back is on the source: the small side is one row per source, which adaptive execution sends to
-    all tasks when it is below the session's limit and otherwise joins by key, splitting hot ones.
+    back is on the source: the rates are sent to all tasks if there are at most SENT sources; beyond
+    that the join is by key, where adaptive execution splits the hot ones.
     """
     own = docs.select(F.col(key).alias("doc_id"), F.col("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rates = source_targets(own.groupBy("source").agg(F.sum("size").alias("source_size")))
-    rates = rates.withColumnRenamed("source", "its_source")
+    rates = _rates(own)
     extra = (seeded_fraction(seed, F.col("doc_id")) < F.col("rate") - F.floor("rate")).cast("long")
     return (
-        own.join(rates, F.col("source").eqNullSafe(F.col("its_source")))
+        own.join(rates, F.col("source").eqNullSafe(F.col("__source")))
         .withColumn("copies", F.floor("rate") + extra)
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
@@ -77,8 +88,7 @@ def mixed_rows(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The rows of documents, each as often as the mix takes it; columns as they came."""
     names = docs.columns
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rates = source_targets(docs.select("source", words.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
-    rates = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    rates = _rates(docs.select("source", words.alias("size"))).select("__source", F.col("rate").alias("__rate"))
     copies = F.floor("__rate") + (seeded_fraction(seed, F.col("doc_id")) < F.col("__rate") - F.floor("__rate")).cast("long")
     taken = docs.join(rates, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", copies)
     return taken.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*names)

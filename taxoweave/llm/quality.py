@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), (mixed(np.concatenate(hashes)) >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)
 
 
-def _slices(texts: pd.Series) -> Iterator[tuple[int, int]]:
+def _slices(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += 0 if t is None else len(t)
@@ -169,6 +170,12 @@ def _score(batches: Iterable[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="text").assign(score=np.concatenate(out) if out else np.zeros(0))
 
 
+def _shared(docs: DataFrame, labels: DataFrame, sample: int):
+    model = train(docs, labels, sample)
+    lean = (model.vectors @ (model.softmax[1] - model.softmax[0])).astype(np.float64)
+    return docs.sparkSession.sparkContext.broadcast((lean, float(model.bias[1] - model.bias[0])))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted.
 
@@ -177,13 +184,24 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     repeated texts score alike. A null doc_id is not held out. With no usable label all scores are
     one half. Texts are read whole, in slices of bounded size (or one text).
     """
-    model = train(docs, labels, sample)
-    lean = (model.vectors @ (model.softmax[1] - model.softmax[0])).astype(np.float64)
-    shared = docs.sparkSession.sparkContext.broadcast((lean, float(model.bias[1] - model.bias[0])))
+    shared = _shared(docs, labels, sample)
     texts = filled(spread(docs.select("doc_id", "text")))
     made = unfilled(texts.mapInPandas(partial(_score, shared=shared), "doc_id long, __no_id boolean, score double"))
     return made.select("doc_id", held_out_by(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def _accepted(batches: Iterable[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
+    lean, bias = shared.value
+    for batch in batches:
+        texts = batch["text"].to_pylist()
+        good = [scores(texts[a:b], lean, bias) >= threshold for a, b in _slices(texts)]
+        yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that classify() predicts to be of label 1, with all their columns."""
+    return spread(docs).mapInArrow(partial(_accepted, shared=_shared(docs, labels, sample), threshold=threshold), docs.schema)
+
+
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
