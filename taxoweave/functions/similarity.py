@@ -8,12 +8,13 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .dictionaries import BASIC_SYNONYMS, SYNONYMS
 from .text import no_words, words_literal
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _block_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
     matcher, last, out = SequenceMatcher(None), None, []
     for a, b in zip(first, second, strict=True):
