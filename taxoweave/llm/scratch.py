@@ -74,8 +74,3 @@ def _clear() -> None:
             _delete(spark, path)
         except Exception:  # the session has ended; the folder's owner cleans it
             return
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that nothing refers to any more."""
-    spark._jvm.System.gc()

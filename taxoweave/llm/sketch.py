@@ -38,8 +38,21 @@ def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 class Repeated:
     """The merged sketch: a bit for every cell that counted two or more, in both rows."""
 
-    def __init__(self, bits: int, rows: list[np.ndarray], hot: np.ndarray):
-        self.bits, self.rows, self.hot_bits = bits, rows, hot
+    def __init__(self, bits: int, blocks: list[tuple[int, int, bytes, bytes]]):
+        self.bits, self.blocks = bits, blocks
+        self.rows: list[np.ndarray] | None = None
+
+    def _open(self) -> None:
+        """Blocks travel compressed and are laid out where they are used, once in each process."""
+        size = 1 << min(self.bits, BLOCK_BITS)
+        self.rows = [np.zeros((1 << self.bits) // 8, np.uint8) for _ in range(2)]
+        self.hot_bits = np.zeros(((1 << self.bits) >> FOLD) // 8, np.uint8)
+        unpack = zstandard.ZstdDecompressor()
+        while self.blocks:
+            row, block, repeated, hot = self.blocks.pop()
+            self.rows[row][block * size // 8 : (block + 1) * size // 8] = np.frombuffer(unpack.decompress(repeated), np.uint8)
+            if row == 0:
+                self.hot_bits[(block * size >> FOLD) // 8 : ((block + 1) * size >> FOLD) // 8] = np.frombuffer(unpack.decompress(hot), np.uint8)
 
     @staticmethod
     def _test(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -47,6 +60,8 @@ class Repeated:
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         """True where a hash was estimated to be counted twice or more."""
+        if self.rows is None:
+            self._open()
         out = self._test(self.rows[0], cells(hashes, 0, self.bits))
         at = np.flatnonzero(out)
         out[at] = self._test(self.rows[1], cells(hashes[at], 1, self.bits))
@@ -54,6 +69,8 @@ class Repeated:
 
     def hot(self, hashes: np.ndarray) -> np.ndarray:
         """True where the first row's estimate reached the hot level; never false for a hash that did."""
+        if self.rows is None:
+            self._open()
         return self._test(self.hot_bits, cells(hashes, 0, self.bits) >> np.uint64(FOLD))
 
 
@@ -135,13 +152,6 @@ def repeated(table: DataFrame, arrays, bits: int, hot: int):
     chunks = table.mapInPandas(fill(arrays, bits, hot), "row int, block int, cells binary")
     n = max(1, (2 << max(0, bits - BLOCK_BITS)) // 4)
     merged = chunks.repartition(n, "row", "block").sortWithinPartitions("row", "block").mapInPandas(_merge(bits, hot), "row int, block int, repeated binary, hot binary")
-    size = 1 << min(bits, BLOCK_BITS)
-    rows, marks = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)], np.zeros(((1 << bits) >> FOLD) // 8, np.uint8)
-    unpack = zstandard.ZstdDecompressor()
     with tidy(spark):
-        found = merged.collect()
-    for r in found:
-        rows[r.row][r.block * size // 8 : (r.block + 1) * size // 8] = np.frombuffer(unpack.decompress(bytes(r.repeated)), np.uint8)
-        if r.row == 0:
-            marks[(r.block * size >> FOLD) // 8 : ((r.block + 1) * size >> FOLD) // 8] = np.frombuffer(unpack.decompress(bytes(r.hot)), np.uint8)
-    return spark.sparkContext.broadcast(Repeated(bits, rows, marks))
+        blocks = [(r.row, r.block, bytes(r.repeated), bytes(r.hot)) for r in merged.collect()]
+    return spark.sparkContext.broadcast(Repeated(bits, blocks))

@@ -8,11 +8,13 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .inputs import filled, row_mark, spread, unfilled
-from .scratch import release
+from .inputs import row_mark, spread
 from .sketch import cell_bits, repeated
 from .words import BASE_2, Rolling, WordHashes, split
 
@@ -93,7 +95,6 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "mark", "text")
     sketch = repeated(texts.select("text"), partial(_window_hashes, width=width), cell_bits(texts, "text"), 1 << 30)
-    release(docs.sparkSession)
     found = texts.mapInPandas(partial(_candidates, width=width, sketch=sketch), "k long, more long, doc_id long, mark long, runs array<int>")
     same = Window.partitionBy("k", F.shiftright("more", 32))
     first = F.min(F.when(F.col("runs").isNull(), F.col("doc_id"))).over(same)
@@ -111,21 +112,36 @@ def kept(words: list[bytes], runs, width: int) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
 
 
-def _apply(batches: Iterable[pd.DataFrame], width: int, names: list[str]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for text, runs in zip(pdf["__text"], pdf["__runs"], strict=True):
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed more tightly than a shuffle would; all other columns as they are."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch["__text"].to_pylist()]
+        at = batch.schema.get_field_index("__text")
+        yield batch.set_column(at, "__text", pa.array(packed, pa.binary()))
+
+
+def _apply(batches: Iterable[pa.RecordBatch], width: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        n_words, n_removed, digests, texts = [], [], [], []
+        for packed, runs in zip(batch["__text"].to_pylist(), batch["__runs"].to_pylist(), strict=True):
+            text = None if packed is None else unpack.decompress(packed).decode("utf-8", "surrogatepass")
             words = split(text)
             left = kept(words, runs, width)
             joined = b" ".join(left)
-            changed = len(left) < len(words)
-            rows.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), (joined.decode("utf-8", "surrogatepass") if changed else text) if "kept_text" in names else None))
-        new = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept_text"], index=pdf.index)
-        yield pd.concat([pdf[["doc_id", "__no_id"]], new[[c for c in new if c in names]]], axis=1)
+            n_words.append(len(words)), n_removed.append(len(words) - len(left)), digests.append(hashlib.sha256(joined).hexdigest())
+            if with_text:
+                texts.append(joined.decode("utf-8", "surrogatepass") if len(left) < len(words) else text)
+        columns = [(n, batch[n]) for n in batch.schema.names if n not in ("__text", "__runs")]
+        columns += [("n_words", pa.array(n_words, pa.int64())), ("n_removed", pa.array(n_removed, pa.int64())), ("kept_sha256", pa.array(digests, pa.string()))]
+        if with_text:
+            columns.append(("kept_text", pa.array(texts, pa.string())))
+        yield pa.RecordBatch.from_arrays([c for _, c in columns], names=[n for n, _ in columns])
 
 
-def dedup_substrings(docs: DataFrame, width: int = WINDOW, text: bool = True) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept_sha256 and, with ``text``, kept_text.
+def dedup_substrings(docs: DataFrame, width: int = WINDOW, text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id, the columns ``carry``, n_words, n_removed, kept_sha256 and, with ``text``, kept_text.
 
     Each word that is covered by a window of ``width`` words whose sequence also starts in a
     document with a smaller doc_id is removed, judged on the input. kept_text is the text itself
@@ -134,12 +150,14 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, text: bool = True) ->
     without a doc_id are neither compared nor changed. Rows that share a doc_id don't count as
     earlier than each other. Every word of a text counts, however long it is.
     """
-    own = spread(docs.select("doc_id", "text")).withColumn("mark", row_mark(docs))
-    runs = repeated_windows(own, width).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("runs").alias("__runs"))
-    joined = own.join(runs, (F.col("doc_id") == F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("doc_id", F.col("text").alias("__text"), "__runs")
-    schema = "doc_id long, __no_id boolean, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if text else "")
-    names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * text
-    return unfilled(filled(joined).mapInPandas(partial(_apply, width=width, names=names), schema))
+    own = spread(docs.select("doc_id", "text", *carry)).withColumn("mark", row_mark(docs))
+    runs = repeated_windows(own.select("doc_id", "mark", "text"), width).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("runs").alias("__runs"))
+    rows = own.select("doc_id", *carry, F.col("mark").alias("__own"), F.col("text").alias("__text"))
+    schema = T.StructType([f if f.name != "__text" else T.StructField("__text", T.BinaryType()) for f in rows.schema])
+    joined = rows.mapInArrow(_packed, schema).join(runs, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__mark")), "left").select("doc_id", *carry, "__text", "__runs")
+    made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    made += [T.StructField("kept_text", T.StringType())] * text
+    return joined.mapInArrow(partial(_apply, width=width, with_text=text), T.StructType([f for f in joined.schema if f.name not in ("__text", "__runs")] + made))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
