@@ -256,7 +256,8 @@ class Forest:
         """For each query the ids and cosines of its best candidates.
 
         Down: in every tree to the longest prefix that any string shares with the query's. Up: one
-        bit shorter in all trees at once, until their ranges hold ``wanted`` candidates together.
+        bit shorter in all trees at once, until their ranges hold ``wanted`` candidates together,
+        and ``top`` different ones if there are so many.
         """
         unit = q / np.sqrt((q * q).sum(1))[:, None]
         strings = [self._hash(unit, t) for t in range(len(self.strings))]
@@ -279,10 +280,16 @@ class Forest:
                 ranges[open_[k]] = [(lo[k], hi[k]) for lo, hi in spans]
         out = []
         for i in range(len(q)):
-            mark = np.zeros(len(self.ids), bool)
-            for order, (lo, hi) in zip(self.order, ranges[i], strict=True):
-                mark[order[lo:hi]] = True
-            at = np.flatnonzero(mark & (self.ids != own[i]))
+            mark, length = np.zeros(len(self.ids), bool), int(level[i])
+            spans = ranges[i]
+            while True:
+                for order, (lo, hi) in zip(self.order, spans, strict=True):
+                    mark[order[lo:hi]] = True
+                at = np.flatnonzero(mark & (self.ids != own[i]))
+                if len(at) >= top or length == 0:
+                    break
+                length -= 1  # the trees held the same few: further up
+                spans = [tuple(int(e[0]) for e in self._range(t, strings[t][i : i + 1], length)) for t in range(len(self.strings))]
             # the measure on the original vectors
             cos = (self.x[at] @ q[i]) / (np.sqrt((self.x[at] ** 2).sum(1)) * np.sqrt(q[i] @ q[i]))
             pick = best(cos, self.ids[at], top)
