@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import partial
@@ -12,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import word_ids
 from .inputs import filled, spread, unfilled
 from .scratch import keep
 from .words import split
@@ -28,46 +28,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Token ids of words, as little-endian 32-bit bytes, remembered up to a limit.
-
-    The tokenizer never joins across white space, so a text's ids are its words' ids in a row.
-    """
-
-    def __init__(self, path: str, limit: int = 300_000):
-        super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > self.limit:
-            self.clear()
-        new = list(words.difference(self.keys()))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in coded), strict=True))
-
-    def of(self, text: str | None) -> bytes:
-        words = split(text)
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.__getitem__, words))
-
-
 def _pieces(batches: Iterable[pd.DataFrame], path: str, most: int, end: int, with_ids: bool) -> Iterator[pd.DataFrame]:
-    known, last = WordIds(path), np.array([end], "<u4").tobytes()
+    known, last = word_ids(path), np.array([end], "<u4").tobytes()
     for pdf in batches:
         for at in range(0, len(pdf), 500):
             part = pdf.iloc[at : at + 500]
-            known.learn({w for text in part["text"] for w in split(text)})
+            words = [split(text) for text in part["text"]]
+            known.learn(set().union(*words))
             rows = []
-            for doc_id, no_id, text in zip(part["doc_id"], part["__no_id"], part["text"], strict=True):
-                ids = known.of(text) + last
+            for doc_id, no_id, own in zip(part["doc_id"], part["__no_id"], words, strict=True):
+                ids = known.of(own) + last
                 for piece, start in enumerate(range(0, len(ids), 4 * most)):
                     cut = ids[start : start + 4 * most]
                     rows.append((doc_id, no_id, piece, start // 4, len(cut) // 4, zlib.crc32(cut), cut if with_ids else None))
