@@ -20,7 +20,7 @@ WIDTH = 5
 #: Shingles that the sketch estimates in this many documents come last in the global order.
 HOT = 64
 #: Shingles of the sets that one tree holds.
-TREE = 1_000_000
+TREE = 250_000
 
 
 def shingles(text: str | None, known: WordHashes, rolls: dict[int, Rolling], width: int = WIDTH) -> np.ndarray:
@@ -40,6 +40,15 @@ def _hashes(batches: Iterable[pd.DataFrame], width: int) -> Iterator[np.ndarray]
             yield shingles(text, known, rolls, width)
 
 
+def _prefix(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements, and their places, of which linked sets share one: of the first n - 0.8 n + 1
+    those that the sketch didn't prove to be in one document only."""
+    n = len(keys)
+    first = keys[: n - -(-4 * n // 5) + 1] if n else keys
+    pos = np.flatnonzero(first >> np.uint64(62))
+    return first[pos], pos
+
+
 def _sets(batches: Iterable[pd.DataFrame], width: int, sketch) -> Iterator[pd.DataFrame]:
     known, rolls, marks = WordHashes(), {}, sketch.value
     for pdf in batches:
@@ -53,9 +62,8 @@ def _sets(batches: Iterable[pd.DataFrame], width: int, sketch) -> Iterator[pd.Da
                 order += (order > 0) & marks.hot(h)
                 # the global order: shingles of one document, then of several, then of many; then by hash
                 keys = np.sort(order << np.uint64(62) | h >> np.uint64(2))
-                first = keys[: n - -(-4 * n // 5) + 1] if n else keys
-                pos = np.flatnonzero(first >> np.uint64(62))
-                rows.append((n, one.view(np.int64), two.view(np.int64), first[pos].view(np.int64), pos.astype(np.int32), keys.astype(">u8").tobytes() if len(pos) else None))
+                first, pos = _prefix(keys)
+                rows.append((n, one.view(np.int64), two.view(np.int64), first.view(np.int64), pos.astype(np.int32), keys.astype(">u8").tobytes() if len(pos) else None))
             out = pd.DataFrame(rows, columns=["n", "f1", "f2", "t", "pos", "keys"], index=part.index)
             yield pd.concat([part.drop(columns="text"), out], axis=1)
 
@@ -78,36 +86,35 @@ class PrefixTree:
             other = np.flatnonzero(a[:n] != b[:n])
             self.shared.append(int(other[0]) if len(other) else n)
 
-    def similar(self, probe: np.ndarray) -> Iterator[tuple[object, int]]:
-        """(name, overlap) of all leaves whose Jaccard similarity with the probe is 0.8 or more.
+    def similar(self, probe: np.ndarray, among: Iterable[int] | None = None) -> Iterator[tuple[int, int]]:
+        """(leaf, overlap) of the leaves (all, or those of the sorted numbers ``among``) whose Jaccard
+        similarity with the probe is 0.8 or more.
 
         On the way down, elements of the leaf that the probe lacks and elements of the probe that
         were passed over use up what the remaining lengths allow; a subtree is left as soon as
         either is spent for the leaf's length.
         """
-        m = len(probe)
+        m, before = len(probe), -1
         missed = passed = np.zeros(0, np.int64)
         stop = -1  # the depth at which the last walk was cut off, if it was
-        for name, leaf, common in zip(self.names, self.sets, self.shared, strict=True):
-            n = len(leaf)
+        for i in range(len(self.sets)) if among is None else among:
+            leaf = self.sets[i]
+            # what two leaves share is the least that any neighbours between them do
+            common = int(min(self.shared[before + 1 : i + 1])) if before >= 0 else 0
+            before, n = i, len(leaf)
             need = -(-4 * (n + m) // 9)
-            if need > min(n, m):
-                # the walk to this leaf isn't made; what is known reaches as deep as it shares
-                missed, passed = missed[:common], passed[:common]
-                stop = stop if stop < common else -1
-                continue
-            if 0 <= stop < common and (missed[stop] > n - need or passed[stop] > m - need):
-                missed, passed = missed[:common], passed[:common]
+            missed, passed = missed[:common], passed[:common]
+            stop = stop if stop < common else -1
+            if need > min(n, m) or stop >= 0 and (missed[stop] > n - need or passed[stop] > m - need):
                 continue
-            done = min(common, len(missed))
+            done = len(missed)
             new = leaf[done:]
             at = np.searchsorted(probe, new)
             hit = probe[np.minimum(at, m - 1)] == new
-            before = int(missed[done - 1]) if done else 0
-            lacks = before + np.cumsum(~hit)
+            lacks = (int(missed[-1]) if done else 0) + np.cumsum(~hit)
             # of the probe's elements below this one, those that weren't met
             skips = at - (np.arange(done + 1, n + 1) - lacks - hit)
-            missed, passed = np.concatenate([missed[:done], lacks]), np.concatenate([passed[:done], skips])
+            missed, passed = np.concatenate([missed, lacks]), np.concatenate([passed, skips])
             spent = np.flatnonzero((missed > n - need) | (passed > m - need))
             if len(spent):
                 stop = int(spent[0])
@@ -116,7 +123,17 @@ class PrefixTree:
             stop = -1
             overlap = n - int(missed[-1])
             if 9 * overlap >= 4 * (n + m):
-                yield name, overlap
+                yield i, overlap
+
+    def starts(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each element of a prefix (without elements of one document only) its leaves and places."""
+        first = [_prefix(keys) for keys in self.sets]
+        leaf = np.repeat(np.arange(len(first)), [len(t) for t, _ in first])
+        t, at = (np.concatenate(x) if len(x) else np.zeros(0, np.int64) for x in zip(*first, strict=True)) if first else (leaf, leaf)
+        order = np.argsort(t, kind="stable")
+        t, at, leaf = t[order], at[order], leaf[order]
+        cuts = np.flatnonzero(t[1:] != t[:-1]) + 1
+        return {int(k): (x, y) for k, x, y in zip(t[np.append(0, cuts)] if len(t) else [], np.split(leaf, cuts), np.split(at, cuts))}
 
 
 def _search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +143,8 @@ def _search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def close() -> list:
         if at is None or probe is None or not leaves:
             return []
-        return [(at[0], name) for name, _ in PrefixTree(leaves).similar(probe)]
+        tree = PrefixTree(leaves)
+        return [(at[0], tree.names[i]) for i, _ in tree.similar(probe)]
 
     for pdf in batches:
         found = []
@@ -142,6 +160,64 @@ def _search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(close(), columns=["u", "v"])
 
 
+def _tree_join(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of (g, part, kind): the sets of a tree, then the sets to be tried against them.
+
+    A probe walks to the leaves that share an element of the prefix at places that leave enough
+    after it, and no more to a component that it is linked with already."""
+    at, leaves, tree = None, [], None
+    for pdf in batches:
+        found = []
+        for g, part, kind, node, c, keys in zip(pdf["g"], pdf["part"], pdf["kind"], pdf["node"], pdf["c"], pdf["keys"], strict=True):
+            if (g, part) != at:
+                at, leaves, tree = (g, part), [], None
+            if kind == 0:
+                leaves.append((keys, (node, c)))
+                continue
+            if tree is None:
+                tree, leaves, joined = PrefixTree(leaves), [], {}
+                starts, size = tree.starts(), np.array([len(x) for x in tree.sets])
+                component = np.array([x[1] for x in tree.names], np.int64)
+            while c in joined:
+                c = joined[c]
+            probe = np.frombuffer(keys, ">u8").astype(np.uint64)
+            m, near = len(probe), []
+            for t, i in zip(*_prefix(probe), strict=True):
+                leaf, place = starts.get(int(t), ((), ()))
+                if len(leaf):
+                    n = size[leaf]
+                    most = np.minimum(place, i) + np.minimum(n - place, m - i)
+                    near.append(leaf[(9 * most >= 4 * (n + m)) & (component[leaf] != c)])
+            if not near:
+                continue
+            apart = (int(i) for i in np.unique(np.concatenate(near)) if component[i] != c)
+            for i, _ in tree.similar(probe, apart):
+                found.append((node, tree.names[i][0]))
+                joined[int(component[i])] = c
+                component[component == component[i]] = c
+        yield pd.DataFrame(found, columns=["u", "v"])
+
+
+def _joined(posted: DataFrame, by_node: DataFrame) -> DataFrame:
+    """Links between components that share a prefix element: of each element, every document
+    outside its largest component against all others, in trees and not pair by pair.
+
+    Documents that such elements connect are one group; a group's sets are dealt to trees of bounded
+    size, and a probe goes to each tree of its group."""
+    sizes = posted.groupBy("t", "c").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("t").agg(F.max(F.struct("m", "c")).alias("b"), F.count("*").alias("k")).where("k > 1").select("t", F.col("b.c").alias("bc"))
+    met = keep(posted.join(main, "t").select("t", "node", "n", "c", (F.col("c") != F.col("bc")).alias("probe")), "postings")
+    first = met.groupBy("t").agg(F.min("node").alias("v"))
+    groups = connected_components(met.select("t", F.col("node").alias("u")).join(first, "t").select("u", "v")).select("node", F.col("component").alias("g"))
+    nodes = met.groupBy("node").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.max("probe").alias("probe")).join(groups, "node")
+    parts = nodes.groupBy("g").agg(F.ceil(F.sum("n") / TREE).cast("int").alias("parts"))
+    nodes = keep(nodes.join(parts, "g").join(by_node, "node"), "members")
+    leaves = nodes.select("g", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "node", "c", "keys")
+    probes = nodes.where("probe").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "node", "c", "keys")
+    rows = leaves.unionByName(probes).repartition("g", "part").sortWithinPartitions("g", "part", "kind")
+    return rows.mapInPandas(_tree_join, "u long, v long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (hub, node) that are linked. Sets are sent to their hub once each; a hub with many
     is split by total length, so that a tree stays within TREE shingles (or one set)."""
@@ -170,8 +246,7 @@ def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sketch proves to be in one document only are never sent. For each shingle, a hub is tried
     against the others by a prefix tree of their sets; links join components; shingles whose
     documents are in one component are finished. After two rounds of hubs, what is still apart is
-    tried in full: every document outside a shingle's largest component against all others there
-    that are in another component. So no two components that a link would join stay apart, and a
+    tried in full, by prefix trees of all documents that such shingles connect. So no two components that a link would join stay apart, and a
     large group of copies costs its size and not its square.
     """
     own = spread(docs.select("doc_id", "text").where("doc_id is not null"))
@@ -179,6 +254,7 @@ def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     bits = cell_bits(own, "text")
     sketch = repeated(own.select("text"), partial(_hashes, width=width), bits, HOT)
     sets = keep(own.mapInPandas(partial(_sets, width=width, sketch=sketch), "doc_id long, n long, f1 long, f2 long, t array<long>, pos array<int>, keys binary"), "sets")
+    sketch.destroy()
     classes = keep(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     if many:
         # two classes may have the same smallest id: a class is then named by a hash of its set
@@ -204,14 +280,7 @@ def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         links = found if links is None else keep(links.unionByName(found), "links")
         label = keep(connected_components(links), "labels")
         posted = still.select("t", "node", "n", "pos").join(label, "node", "left").select("t", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
-    # what is left: every document outside its shingle's largest component, against all in others
-    sizes = posted.groupBy("t", "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("t").agg(F.max(F.struct("m", "c")).alias("b"), F.count("*").alias("k")).where("k > 1").select("t", F.col("b.c").alias("bc"))
-    open_ = keep(posted.join(main, "t"), "postings")
-    left = open_.where("c <> bc").select("t", F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("c").alias("hc"))
-    rest = open_.drop("bc").join(left, "t").where("c <> hc").where(_POSSIBLE)
-    rest = rest.select(F.least("hub", "node").alias("node"), F.greatest("hub", "node").alias("hub"), F.when(F.col("hub") < F.col("node"), F.col("hn")).otherwise(F.col("n")).alias("n")).distinct()
-    links = keep(links.unionByName(_verified(rest, by_node)), "links")
+    links = keep(links.unionByName(_joined(posted, by_node)), "links")
     label = connected_components(links).select(F.col("node").alias("__node"), "component")
     named = classes.join(label, F.col("node") == F.col("__node"), "left").select("f1", "f2", F.col("rep").alias("class_id"), F.coalesce("component", "node").alias("component"))
     if many:
