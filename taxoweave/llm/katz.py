@@ -36,11 +36,15 @@ UNKNOWN, START = -1, -2
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Numbers byte by byte, first all lowest ones: most of the higher ones are alike."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def _open(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    kind = np.dtype(kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
 def _small(x: np.ndarray) -> tuple[str, bytes]:
@@ -62,7 +66,11 @@ def _chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         learnt = np.repeat(~np.array(held, bool), sizes)
         counts = np.bincount(local[learnt], minlength=len(words))
         kind, packed = _small(counts)
-        return pd.DataFrame([((place << 32) | made, len(tokens), np.array(ids, "<i8").tobytes(), np.array(none, "u1").tobytes(), np.array(held, "u1").tobytes(), np.array(sizes, "<i8").tobytes(), _pack(local.astype("<u4")), words.astype("<u8").tobytes(), kind, packed)], columns=["chunk", "n", "ids", "none", "held", "sizes", "tokens", "words", "kind_of", "counts"])
+        # tokens as ranks by frequency, which are small numbers mostly
+        by_rank = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), "<u4")
+        rank[by_rank] = np.arange(len(words))
+        return pd.DataFrame([((place << 32) | made, len(tokens), np.array(ids, "<i8").tobytes(), np.array(none, "u1").tobytes(), np.array(held, "u1").tobytes(), np.array(sizes, "<i8").tobytes(), _pack(rank[local]), _pack(by_rank.astype("<u4")), words.astype("<u8").tobytes(), kind, packed)], columns=["chunk", "n", "ids", "none", "held", "sizes", "tokens", "by_rank", "words", "kind_of", "counts"])
 
     for pdf in batches:
         for doc_id, no_id, out, text in zip(pdf["doc_id"], pdf["__no_id"], pdf["held"], pdf["text"], strict=True):
@@ -77,7 +85,7 @@ def _chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-_CHUNK = "chunk long, n long, ids binary, none binary, held binary, sizes binary, tokens binary, words binary, kind_of string, counts binary"
+_CHUNK = "chunk long, n long, ids binary, none binary, held binary, sizes binary, tokens binary, by_rank binary, words binary, kind_of string, counts binary"
 
 
 # ---- words ---------------------------------------------------------------------------------
@@ -124,13 +132,13 @@ def _grouped(batches: Iterable[pd.DataFrame], by: str) -> Iterator[tuple[int, li
         yield at, rows
 
 
-def _count_words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_words(batches: Iterable[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
     """A bucket's words with their counts over all chunks; a reply to each chunk, in its order."""
     for bucket, rows in _grouped(batches, "bucket"):
         words = [np.frombuffer(r.words, "<u8") for r in rows]
         known, back = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(back, np.concatenate([_open(r.counts, r.kind_of) for r in rows]), minlength=len(known)).astype(np.int64)
-        number = np.where(total > 0, np.int64(bucket) << 32 | np.arange(len(known)), UNKNOWN)
+        number = np.where(total > 0, np.arange(len(known)) * buckets + bucket, UNKNOWN)
         out, a = [], 0
         for r, w in zip(rows, words, strict=True):
             mine = back[a : a + len(w)]
@@ -199,7 +207,7 @@ def _send_pairs(batches: Iterable[pd.DataFrame], buckets: int, model: Words) ->
         text, replies = rows[0], sorted(rows[1:], key=lambda r: r.bucket)
         number = np.concatenate([_open(r.numbers, "<i8") for r in replies])
         total = np.concatenate([_open(r.totals, r.kind_of).astype(np.int64) for r in replies])
-        tokens, sizes = _open(text.tokens, "<u4").astype(np.int64), np.frombuffer(text.sizes, "<i8")
+        tokens, sizes = _open(text.by_rank, "<u4").astype(np.int64)[_open(text.tokens, "<u4")], np.frombuffer(text.sizes, "<i8")
         learnt = np.repeat(np.frombuffer(text.held, "u1") == 0, sizes)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         count = total[tokens]
@@ -274,7 +282,8 @@ def _merge_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = np.bincount(pair, np.concatenate(seen)).astype(np.int64)
         size = np.diff(np.append(np.flatnonzero(np.append(True, np.diff(context[new]) != 0)), len(count)))
         hit_pair = np.repeat(pair, np.concatenate(pers))
-        columns = [_small(size), _small(np.concatenate(times)[order][new]), _small(count), _small(hit_pair), _small(np.concatenate(chunks)), _small(np.concatenate(docs)), _small(np.concatenate(hits)), ("<i8", _pack(np.array([r.chunk for r in rows], "<i8"))), ("<i8", _pack(np.array([r.n_first for r in rows], "<i8")))]
+        by_pair = np.argsort(hit_pair, kind="stable")
+        columns = [_small(size), _small(np.concatenate(times)[order][new]), _small(count), _small(np.bincount(hit_pair, minlength=len(count))), _small(np.concatenate(chunks)[by_pair]), _small(np.concatenate(docs)[by_pair]), _small(np.concatenate(hits)[by_pair]), ("<i8", _pack(np.array([r.chunk for r in rows], "<i8"))), ("<i8", _pack(np.array([r.n_first for r in rows], "<i8")))]
         data = b"".join(len(x).to_bytes(4, "little") + x for k, v in columns for x in (k.encode(), v))
         yield pd.DataFrame([(-1, 1, len(count), data, _histogram(count[count > 0]))], columns=names)
 
@@ -287,7 +296,7 @@ def _score(batches: Iterable[pd.DataFrame], model: Words, keep_: np.ndarray) ->
     for pdf in batches:
         for r in pdf.itertuples():
             f = _fields(r.data)
-            size, times, count, hit_pair, chunk, doc, hits, chunks, n_docs = (_open(v, k.decode()) for k, v in zip(f[::2], f[1::2], strict=True))
+            size, times, count, per, chunk, doc, hits, chunks, n_docs = (_open(v, k.decode()) for k, v in zip(f[::2], f[1::2], strict=True))
             count, size = count.astype(np.int64), size.astype(np.int64)
             context = np.repeat(np.arange(len(size)), size)
             low = model.prob(times.astype(np.int64))
@@ -301,7 +310,7 @@ def _score(batches: Iterable[pd.DataFrame], model: Words, keep_: np.ndarray) ->
             weight = np.where(total > 0, left / others, 1.0)
             scale = np.where(total > 0, (1 - left) / np.maximum(held, 1e-300), 0.0)
             p = np.where(count > 0, kept / np.maximum(total, 1)[context] * scale[context], weight[context] * low)
-            each = np.log10(p)[hit_pair] * hits
+            each = np.repeat(np.log10(p), per) * hits
             order = np.argsort(chunk, kind="stable")
             rows = []
             for c, i, j in _cuts(chunk[order].astype(np.int64)):
@@ -341,13 +350,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
     buckets = max(1, min(1 << 20, -(-n // BUCKET)))
     tasks = max(buckets, spark.sparkContext.defaultParallelism)
     words = chunks.mapInPandas(partial(_send_words, buckets=buckets), "bucket int, chunk long, words binary, kind_of string, counts binary")
-    words = keep(words.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInPandas(_count_words, _WORDS), "words")
+    words = keep(words.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInPandas(partial(_count_words, buckets=buckets), _WORDS), "words")
     known = words.where("chunk = -1")
     seen = known.agg(*[F.sum(F.col("seen")[i]) for i in range(K + 1)], F.sum("types"), F.sum("tokens")).first()
     seen = [x or 0 for x in seen]
     model = word_model(seen[: K + 1], seen[K + 1], seen[K + 2])
     replies = words.where("chunk >= 0").select("chunk", F.lit(1).alias("kind"), "bucket", "numbers", "totals", "kind_of")
-    own = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), "ids", "none", "held", "sizes", "tokens").unionByName(replies, allowMissingColumns=True)
+    own = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), "ids", "none", "held", "sizes", "tokens", "by_rank").unionByName(replies, allowMissingColumns=True)
     met = own.repartition(max(tasks, chunks.rdd.getNumPartitions()), "chunk").sortWithinPartitions("chunk", "kind", "bucket")
     pairs = met.mapInPandas(partial(_send_pairs, buckets=buckets, model=model), _PAIRS)
     table = keep(pairs.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInPandas(_merge_pairs, _TABLE), "pairs")
