@@ -168,20 +168,35 @@ class Words(NamedTuple):
         return np.where(count > 0, kept * count * self.scale / max(1, self.tokens), self.unknown)
 
 
+def smoothed(seen: list[int]) -> np.ndarray | None:
+    """Numbers of types seen 1 to K + 1 times as Good-Turing needs them: falling, without gaps.
+
+    As in simple Good-Turing (Gale and Sampson) log n(c) is fitted as a line in log c; beside gaps a
+    count stands for half the width up to its neighbours. None where the line doesn't fall faster
+    than 1 / c, or where fewer than two counts were seen: then no count can be discounted by it."""
+    n = np.array(seen, float)
+    at = np.flatnonzero(n > 0) + 1.0
+    if len(at) < 2:
+        return None
+    below = np.append(0, at[:-1])
+    above = np.append(at[1:], 2 * at[-1] - at[-2])
+    slope, start = np.polyfit(np.log(at), np.log(2 * n[n > 0] / (above - below)), 1)
+    return np.exp(start + slope * np.log(np.arange(1, K + 2))) if slope < -1 - 1e-9 else None
+
+
 def discounts(seen: list[int]) -> np.ndarray:
     """Katz's Good-Turing factors of counts 0 to K from the numbers of types seen 1 to K + 1 times.
 
-    Where the counts of counts don't give factors between 0 and 1 (as in small or odd corpora), an
-    absolute discount by their first two takes their place."""
-    out = np.ones(K + 1)
-    n = np.array([0, *seen], float)
-    if n[1]:
-        common = (K + 1) * n[K + 1] / n[1]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            good = np.array([((c + 1) * n[c + 1] / n[c] / c - common) / (1 - common) for c in range(1, K + 1)])
-        if not np.all(np.isfinite(good) & (good > 0) & (good < 1)):
-            good = 1 - n[1] / (n[1] + 2 * n[2]) * 0.9 / np.arange(1, K + 1)
-        out[1:] = good
+    These numbers are smoothed first, so that every factor is between 0 and 1. Only where they
+    allow no such line (see smoothed(): a handful of words) an absolute discount by the first two
+    takes the place of Good-Turing."""
+    out, c = np.ones(K + 1), np.arange(1, K + 1)
+    n = smoothed(seen)
+    if n is not None:
+        common = (K + 1) * n[K] / n[0]
+        out[1:] = ((c + 1) * n[1:] / n[:-1] / c - common) / (1 - common)
+    elif seen[0]:
+        out[1:] = 1 - seen[0] / (seen[0] + 2 * seen[1]) * 0.9 / c
     return out
 
 

@@ -268,6 +268,35 @@ def test_katz_by_brute_force(spark, docs):
     assert only.n_tokens == 1 and only.score <= 0
 
 
+#: Counts of counts of the given documents' words and pairs, learnt ones only (sf0.001, sf0.01, sf0.1).
+SEEN = [
+    [16971, 3831, 1233, 563, 507, 210], [51654, 14844, 5474, 2713, 2570, 1129], [215810, 61309, 26017, 14862, 13741, 7222],
+    [45803, 5857, 1222, 308, 371, 88], [206781, 32217, 5097, 1904, 2579, 670], [1655711, 262472, 56325, 23262, 20048, 8151],
+]
+
+
+def test_good_turing_discounts_hold():
+    import math
+
+    # n(c) = a / c^2: r* / r is c / (c + 1), of which Katz takes the common 1 / 6
+    assert katz.discounts([3_600_000 // c**2 for c in range(1, 7)])[1:] == pytest.approx([0.4, 0.6, 0.7, 0.76, 0.8])
+    for seen in SEEN:
+        # the line by its normal equations
+        x, y = [math.log(c) for c in range(1, 7)], [math.log(n) for n in seen]
+        mx, my = sum(x) / 6, sum(y) / 6
+        slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+        ratio = [((c + 1) / c) ** (slope + 1) for c in range(1, 6)]
+        common = 6 ** (slope + 1)
+        got = katz.discounts(seen)
+        assert got[1:] == pytest.approx([(r - common) / (1 - common) for r in ratio])
+        assert got[0] == 1 and (np.diff(got[1:]) > 0).all() and 0 < got[1] and got[5] < 1
+    # a gap: 5 stands for the width from 3 to 7
+    assert katz.smoothed([100, 30, 10, 0, 4, 0])[0] == pytest.approx(math.exp(np.polyval(np.polyfit(np.log([1, 2, 3, 5]), np.log([100, 30, 20 / 3, 2]), 1), 0)))
+    # nothing to fit
+    assert katz.discounts([10, 0, 0, 0, 0, 0])[1:] == pytest.approx([1 - 0.9 / c for c in range(1, 6)])
+    assert (katz.discounts([0] * 6) == 1).all()
+
+
 def test_licenses(spark):
     mit, apache = licenses.TEMPLATES[14][1], licenses.TEMPLATES[13][1]
     rows = [(0, f"{prose(30)}\nReleased under the MIT License.\n{prose(10)}"), (1, prose(200)), (2, None), (3, ""), (4, f"{prose(77)} {mit} {prose(50)} {apache}"), (None, "licensed under cc BY-NC 4.0"), (5, mit.replace("copy", "clone", 1))]
