@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,10 @@ from .words import Rolling, WordHashes, mixed, split
 WIDTH = 5
 #: Shingles that the sketch estimates in this many documents come last in the global order.
 HOT = 64
-#: Shingles of the sets that one tree holds.
-TREE = 250_000
+#: Shingles of the sets that one tree holds, and sets of a tree that gives every pair.
+TREE, LEAVES = 250_000, 250
+#: Pairs given out at once.
+GIVEN = 100_000
 
 
 def shingles(text: str | None, known: WordHashes, rolls: dict[int, Rolling], width: int = WIDTH) -> np.ndarray:
@@ -160,6 +163,19 @@ def _search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(close(), columns=["u", "v"])
 
 
+def _near(probe: np.ndarray, starts: dict[int, tuple[np.ndarray, np.ndarray]], size: np.ndarray) -> np.ndarray:
+    """The leaves, in order, that share an element of the prefix with the probe at places that leave
+    enough after it."""
+    m, near = len(probe), [np.zeros(0, np.int64)]
+    for t, i in zip(*_prefix(probe), strict=True):
+        leaf, place = starts.get(int(t), ((), ()))
+        if len(leaf):
+            n = size[leaf]
+            most = np.minimum(place, i) + np.minimum(n - place, m - i)
+            near.append(leaf[9 * most >= 4 * (n + m)])
+    return np.unique(np.concatenate(near))
+
+
 def _tree_join(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order of (g, part, kind): the sets of a tree, then the sets to be tried against them.
 
@@ -181,16 +197,7 @@ def _tree_join(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             while c in joined:
                 c = joined[c]
             probe = np.frombuffer(keys, ">u8").astype(np.uint64)
-            m, near = len(probe), []
-            for t, i in zip(*_prefix(probe), strict=True):
-                leaf, place = starts.get(int(t), ((), ()))
-                if len(leaf):
-                    n = size[leaf]
-                    most = np.minimum(place, i) + np.minimum(n - place, m - i)
-                    near.append(leaf[(9 * most >= 4 * (n + m)) & (component[leaf] != c)])
-            if not near:
-                continue
-            apart = (int(i) for i in np.unique(np.concatenate(near)) if component[i] != c)
+            apart = (int(i) for i in _near(probe, starts, size) if component[i] != c)
             for i, _ in tree.similar(probe, apart):
                 found.append((node, tree.names[i][0]))
                 joined[int(component[i])] = c
@@ -198,6 +205,44 @@ def _tree_join(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["u", "v"])
 
 
+def _pair_join(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of (g, part, kind): the sets of a tree, then the sets to be tried against them.
+    Every linked pair comes out, once: from the probe with the larger number."""
+    names, at, leaves, tree = ["u", "v", "shared"], None, [], None
+    for pdf in batches:
+        found = []
+        for g, part, kind, node, keys in zip(pdf["g"], pdf["part"], pdf["kind"], pdf["node"], pdf["keys"], strict=True):
+            if (g, part) != at:
+                at, leaves, tree = (g, part), [], None
+            if kind == 0:
+                leaves.append((keys, node))
+                continue
+            if tree is None:
+                if not leaves:
+                    continue
+                tree, leaves = PrefixTree(leaves), []
+                starts, size, node_of = tree.starts(), np.array([len(x) for x in tree.sets]), np.array(tree.names, np.int64)
+            probe = np.frombuffer(keys, ">u8").astype(np.uint64)
+            near = _near(probe, starts, size)
+            found += [(tree.names[i], node, shared) for i, shared in tree.similar(probe, near[node_of[near] < node].tolist())]
+            if len(found) >= GIVEN:
+                yield pd.DataFrame(found, columns=names)
+                found = []
+        yield pd.DataFrame(found, columns=names)
+
+
+def _all_pairs(label: DataFrame, small: DataFrame) -> DataFrame:
+    """u, v, shared of every linked pair. Linked sets are in one component, so each component is joined
+    with itself: its sets are dealt to trees of bounded size, and each set goes to each tree."""
+    nodes = small.select("node", "n", "keys").join(label.withColumnRenamed("component", "g"), "node")
+    parts = nodes.groupBy("g").agg(F.ceil(F.greatest(F.sum("n") / TREE, F.count("*") / LEAVES)).cast("int").alias("parts"))
+    nodes = nodes.join(parts, "g")
+    leaves = nodes.select("g", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "node", "keys")
+    probes = nodes.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "node", "keys")
+    rows = leaves.unionByName(probes).repartition("g", "part").sortWithinPartitions("g", "part", "kind")
+    return rows.mapInPandas(_pair_join, "u long, v long, shared long")
+
+
 def _joined(posted: DataFrame, by_node: DataFrame) -> DataFrame:
     """Links between components that share a prefix element: of each element, every document
     outside its largest component against all others, in trees and not pair by pair.
@@ -233,13 +278,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _POSSIBLE = "9 * (least(pos, hpos) + 1 + least(n - pos, hn - hpos) - 1) >= 4 * (n + hn)"
 
 
-def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, class_id, component_id.
+class _Linked(NamedTuple):
+    """sets: of each document; classes: f1, f2, rep, node; small: the sets of the classes that may be linked;
+    label: node, component of those that are; many: whether a doc_id is on several rows."""
 
-    Documents with equal sets are one class, named by its smallest doc_id; classes are linked when
-    their sets' Jaccard similarity is 0.8 or more; component_id is the smallest doc_id reachable
-    by links. Null, empty and blank texts have no shingles and no links. Rows without a doc_id
-    aren't linked and have no component. Rows that share a doc_id are documents of their own.
+    sets: DataFrame
+    classes: DataFrame
+    small: DataFrame
+    label: DataFrame
+    many: bool
+
+
+def _linked(docs: DataFrame, width: int) -> _Linked:
+    """The classes of equal sets, and the components that links make of them.
 
     The global order puts rare shingles first, by a count-min sketch over all documents. Linked sets
     share a shingle of their prefixes (the part that may be missing, plus one); shingles that the
@@ -247,7 +298,8 @@ def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     against the others by a prefix tree of their sets; links join components; shingles whose
     documents are in one component are finished. After two rounds of hubs, what is still apart is
     tried in full, by prefix trees of all documents that such shingles connect. So no two components that a link would join stay apart, and a
-    large group of copies costs its size and not its square.
+    large group of copies costs its size and not its square. Links inside a component that is joined
+    already aren't looked for here: linked_pairs() has all of them.
     """
     own = spread(docs.select("doc_id", "text").where("doc_id is not null"))
     many = repeats_ids(own)
@@ -281,7 +333,20 @@ def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         label = keep(connected_components(links), "labels")
         posted = still.select("t", "node", "n", "pos").join(label, "node", "left").select("t", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
     links = keep(links.unionByName(_joined(posted, by_node)), "links")
-    label = connected_components(links).select(F.col("node").alias("__node"), "component")
+    return _Linked(sets, classes, small, connected_components(links), many)
+
+
+def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, class_id, component_id.
+
+    Documents with equal sets are one class, named by its smallest doc_id; classes are linked when
+    their sets' Jaccard similarity is 0.8 or more; component_id is the smallest doc_id reachable
+    by links. Null, empty and blank texts have no shingles and no links. Rows without a doc_id
+    aren't linked and have no component. Rows that share a doc_id are documents of their own.
+    The links themselves are in linked_pairs().
+    """
+    sets, classes, small, label, many = _linked(docs, width)
+    label = label.select(F.col("node").alias("__node"), "component")
     named = classes.join(label, F.col("node") == F.col("__node"), "left").select("f1", "f2", F.col("rep").alias("class_id"), F.coalesce("component", "node").alias("component"))
     if many:
         least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
@@ -295,6 +360,26 @@ def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return out.unionByName(none).unionByName(unnamed)
 
 
+def linked_pairs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """class_id, other_id, n_shingles, other_shingles, n_shared of every two classes whose Jaccard
+    similarity is 0.8 or more, each pair once with the smaller class_id first.
+
+    With the class_id of linked_components() these are all links between documents: those of one
+    class, and those of linked classes. Their number is the square of a group's size if all of its
+    texts are different and linked. Where rows share a doc_id, two classes may have one class_id.
+    """
+    _, classes, small, label, _ = _linked(docs, width)
+    pairs = keep(_all_pairs(label, small), "pairs")
+    named = small.select("node", "n").join(classes.select("node", "rep"), "node")
+    one = named.select(F.col("node").alias("u"), F.col("rep").alias("a"), F.col("n").alias("na"))
+    two = named.select(F.col("node").alias("v"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+    met = pairs.join(one, "u").join(two, "v")
+    first = F.struct(F.col("a").alias("id"), F.col("na").alias("n"))
+    second = F.struct(F.col("b").alias("id"), F.col("nb").alias("n"))
+    met = met.select(F.least(first, second).alias("x"), F.greatest(first, second).alias("y"), "shared")
+    return met.select(F.col("x.id").alias("class_id"), F.col("y.id").alias("other_id"), F.col("x.n").alias("n_shingles"), F.col("y.n").alias("other_shingles"), F.col("shared").alias("n_shared"))
+
+
 def _counted(batches: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     known, rolls = WordHashes(), {}
     for pdf in batches:
@@ -316,6 +401,10 @@ def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op8_ngram_jaccard_pairs(spark, sf_dir: str) -> DataFrame:
+    return linked_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, sha256(array_to_string(ws[i:i + 4], ' ')) AS s
@@ -332,3 +421,15 @@ class AS (SELECT f, min(doc_id) AS class_id FROM same GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(l.v, w.doc_id)) AS component_id, coalesce(class.class_id, w.doc_id) AS class_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_id l ON l.u = w.doc_id LEFT JOIN same USING (doc_id) LEFT JOIN class USING (f)
 """
+
+ORACLE_PAIRS = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, sha256(array_to_string(ws[i:i + 4], ' ')) AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+same AS (SELECT doc_id, count(*) AS n, string_agg(s, '' ORDER BY s) AS f FROM sh GROUP BY 1),
+class AS (SELECT min(doc_id) AS doc_id, any_value(n) AS n FROM same GROUP BY f),
+own AS (SELECT sh.* FROM sh JOIN class USING (doc_id))
+SELECT a.doc_id AS class_id, b.doc_id AS other_id, any_value(x.n) AS n_shingles, any_value(y.n) AS other_shingles, count(*) AS n_shared
+FROM own a JOIN own b ON a.s = b.s AND a.doc_id < b.doc_id JOIN class x ON x.doc_id = a.doc_id JOIN class y ON y.doc_id = b.doc_id
+GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))
+"""

@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_quality_classifier": quality.op6_quality_classifier,
         "op7_katz_scores": katz.op7_katz_scores,
         "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+        "op8_ngram_jaccard_pairs": jaccard.op8_ngram_jaccard_pairs,
         "op9_mixing": mixing.op9_mixing,
         "op10_license_scans": licenses.op10_license_scans,
     }
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filters": urlfilter.ORACLE,
         "op3_exact_topk": vectors.ORACLE_3,
         "op8_ngram_jaccard": jaccard.ORACLE,
+        "op8_ngram_jaccard_pairs": jaccard.ORACLE_PAIRS,
         "op9_mixing": mixing.ORACLE,
     }

@@ -106,6 +106,35 @@ def test_components_by_brute_force(spark, docs):
     assert jaccard.linked_components(docs.limit(0)).count() == 0
 
 
+def brute_pairs(rows):
+    """Every two different sets that are linked, by the smallest ids that have them."""
+    least = {}
+    for doc_id, text, *_ in rows:
+        w = [x.lower() for x in split(text)]
+        if doc_id is not None and w:
+            s = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+            least[s] = min(least.get(s, doc_id), doc_id)
+    ends = lambda a, b: sorted([(least[a], len(a)), (least[b], len(b))])
+    pairs = [(*ends(a, b), len(a & b)) for i, a in enumerate(least) for b in list(least)[:i] if 100 * len(a & b) >= 80 * len(a | b)]
+    return sorted((x[0], y[0], x[1], y[1], n) for x, y, n in pairs)
+
+
+def test_all_pairs_by_brute_force(spark, docs, monkeypatch):
+    # a group of different texts that are all linked with each other: k (k - 1) / 2 links, and not k - 1
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1000 + i, " ".join(words[: 5 * i] + [f"new{i}"] + words[5 * i + 1 :]), "en", "s") for i in range(30)]
+    schema = "doc_id long, text string, lang string, source string"
+    want = brute_pairs(rows)
+    assert len(want) == 30 * 29 // 2
+    assert sorted(map(tuple, jaccard.linked_pairs(spark.createDataFrame(rows, schema)).collect())) == want
+    monkeypatch.setattr(jaccard, "LEAVES", 4)  # several trees for a component
+    rows += chains() + corpus()
+    want = brute_pairs(rows)
+    assert len(want) > 500
+    assert sorted(map(tuple, jaccard.linked_pairs(spark.createDataFrame(rows, schema)).collect())) == want
+    assert jaccard.linked_pairs(docs.limit(0)).count() == 0
+
+
 def test_one_of_each(docs):
     left = jaccard.one_of_each(docs)
     assert left.columns == docs.columns
