@@ -44,6 +44,16 @@ def nearest(inputs: DataFrame, refs: DataFrame, k: int = DEFAULT.vector_top, lea
     return ranked.where((F.col("rank") <= k) & (F.col("score") >= least))
 
 
+def search(inputs: DataFrame, refs: DataFrame, k: int = DEFAULT.vector_top, least: float = DEFAULT.vector_cosine, vocabulary: int = DEFAULT.vocabulary, most_df: float = DEFAULT.most_df) -> DataFrame:
+    """input, ref, score, rank: the nearest reference names of each input name.
+
+    inputs: input; refs: key, name. Every reference is a document of the model; names are compared
+    once each, and words that no reference has say nothing."""
+    model = fit(postings(refs), refs, vocabulary, most_df)
+    named = lambda t, c: weights(postings(t.select(F.col(c).alias("key"), F.col(c).alias("name")).distinct()), model)
+    return nearest(named(inputs, "input"), named(refs, "name"), k, least)
+
+
 def dense_cosine(a, b):
     """Of two array columns, in double precision."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

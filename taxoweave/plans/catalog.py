@@ -383,6 +383,36 @@ def _weights(spark, d):
     return tfidf.weights(posted, tfidf.fit(posted, docs))
 
 
+_VECTOR = f"""vpost AS (SELECT key, term, count(*) AS tf FROM (SELECT p_partkey AS key, unnest({sql.word_ngrams('p_name')}) AS term FROM part) GROUP BY 1, 2),
+vterms AS (SELECT term, count(*) AS df, sum(tf) AS uses FROM vpost GROUP BY 1 HAVING count(*) <= 0.95 * (SELECT count(*) FROM part)),
+vmodel AS (SELECT term, ln((1 + (SELECT count(*) FROM part)) / (1 + df)::DOUBLE) + 1 AS idf FROM vterms ORDER BY uses DESC, term LIMIT 10000),
+vname AS (SELECT 'i' AS side, input AS name FROM inputs UNION ALL SELECT 'r', ref FROM refs),
+vtf AS (SELECT side, name, term, count(*) AS tf FROM (SELECT side, name, unnest({sql.word_ngrams('name')}) AS term FROM vname) GROUP BY 1, 2, 3),
+vraw AS (SELECT side, name, term, (1 + ln(tf)) * idf AS r FROM vtf JOIN vmodel USING (term)),
+vw AS (SELECT side, name, term, r / sqrt(sum(r * r) OVER (PARTITION BY side, name)) AS w FROM vraw),
+vcos AS (SELECT a.name AS input, b.name AS ref, round(sum(a.w * b.w), 12) AS score FROM vw a JOIN vw b USING (term) WHERE a.side = 'i' AND b.side = 'r' GROUP BY 1, 2),
+vec AS (SELECT input, ref, score FROM (SELECT *, row_number() OVER (PARTITION BY input ORDER BY score DESC, ref) AS rank FROM vcos) WHERE rank <= 15 AND score >= 0.3)"""
+
+
+def _vector_hits(spark, d):
+    refs = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    return tfidf.search(input_names(spark, d), refs, DEFAULT.backfill_top)
+
+
+@query(f"{_IDF}, {_VECTOR}, h AS (SELECT coalesce(vec.input, kw.input) AS input, coalesce(vec.ref, kw.ref) AS ref, vec.score AS v, kw.score AS k FROM vec FULL JOIN kw ON vec.input = kw.input AND vec.ref = kw.ref) SELECT input, ref, round(CASE WHEN count(k) OVER (PARTITION BY input) = 0 THEN v WHEN k IS NULL THEN v * 0.8::DOUBLE ELSE coalesce(v, 0) * 0.6::DOUBLE + k * 0.4::DOUBLE END, 6) AS score FROM h")
+def hybrid_score_tfidf(spark, d):
+    k = candidates.idf_keywords(input_names(spark, d), ref_names(spark, d))
+    return candidates.hybrid(_vector_hits(spark, d), k).withColumn("score", rounded("score"))
+
+
+@query(f"{_IDF}, {_VECTOR}, u AS (SELECT input, ref, 0 AS source, round(score, 9) AS score FROM kw UNION ALL SELECT input, ref, 1, round(score, 9) FROM vec), o AS (SELECT input, ref, source, score, row_number() OVER (PARTITION BY input, ref ORDER BY source, score DESC) AS q FROM u), f AS (SELECT o.input, o.ref, source, row_number() OVER (PARTITION BY o.input ORDER BY source, score DESC, ref_ord) AS rank FROM o JOIN refs USING (ref) WHERE q = 1) SELECT input, ref, source, rank::INTEGER AS rank FROM f WHERE rank <= 25")
+def vector_backfill_tfidf(spark, d):
+    order = ref_names(spark, d).select("ref", "ref_ord")
+    with_order = lambda h: h.withColumn("score", rounded("score", 9)).join(order, "ref")
+    k = candidates.idf_keywords(input_names(spark, d), ref_names(spark, d))
+    return candidates.vector_backfill(with_order(k), with_order(_vector_hits(spark, d))).select("input", "ref", "source", "rank")
+
+
 @query(_TFIDF + " SELECT key, term, round(w, 6) AS w FROM w")
 def tfidf_weights(spark, d):
     return _weights(spark, d).withColumn("w", rounded("w"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import text
 from ..functions.dictionaries import BASIC_SYNONYMS, BRANCH_HINTS, SYNONYMS
-from ..operators import candidates, report, resolver, routing, tree
+from ..operators import candidates, report, resolver, routing, tfidf, tree
 
 Answerer = Callable[[str], str]
 
@@ -31,13 +31,17 @@ def flat(inputs: DataFrame, refs: DataFrame, settings: Settings = DEFAULT, answe
     """ord, input_name, match_id, match_name, match_path, confidence, reasoning for every input row.
 
     inputs: ord, name; refs: ord, id, name, path. Each distinct name is looked up once. Without
-    ``answer`` the best candidate of the funnel is the match; with it, an input's candidates are a
-    request. Inputs without candidates stay, unmatched."""
+    ``answer`` the first candidate is the match; with it, an input's candidates are a request.
+    Candidates are those of the funnel, filled up by the best ``backfill_top`` of the vector search.
+    Inputs without candidates stay, unmatched."""
     names = inputs.select(F.col("name").alias("input")).distinct()
     refs_by_name = _names(refs)
-    hits = candidates.funnel(names, refs_by_name.select("ref", "ref_ord", "n"), _path_words(refs), synonyms, hints, settings).join(refs_by_name.select("ref", "ref_id"), "ref")
+    found = candidates.funnel(names, refs_by_name.select("ref", "ref_ord", "n"), _path_words(refs), synonyms, hints, settings)
+    near = tfidf.search(names, refs.select(F.col("id").alias("key"), "name"), settings.backfill_top, settings.vector_cosine, settings.vocabulary, settings.most_df)
+    near = near.join(refs_by_name.select("ref", "ref_ord"), "ref")
+    hits = candidates.vector_backfill(found, near, settings.candidates).join(refs_by_name.select("ref", "ref_id"), "ref")
     if answer is None:
-        best = resolver.offline(hits).join(refs_by_name.select(F.col("ref").alias("match_name"), F.col("ref_id").alias("match_id")), "match_name").withColumn("reasoning", F.lit("best candidate"))
+        best = resolver.offline(hits.where("rank = 1")).join(refs_by_name.select(F.col("ref").alias("match_name"), F.col("ref_id").alias("match_id")), "match_name").withColumn("reasoning", F.lit("best candidate"))
     else:
         asked = hits.select("input", F.col("rank").cast("long").alias("ord"), F.col("ref_id").alias("id"), F.col("ref").alias("name"))
         one = asked.select("input").distinct().withColumn("ord", F.lit(1).cast("long")).withColumn("name", F.col("input"))

@@ -112,6 +112,23 @@ def test_pipelines_keep_every_input(spark):
     assert ("3", 0.9) in asked.values() and set(asked) == {"b", "c", "d", "e"}
 
 
+def test_flat_fills_up_with_vector_hits(spark):
+    from dataclasses import replace
+
+    from taxoweave.config import DEFAULT
+
+    schema = "ord long, id string, name string, path string"
+    refs = spark.createDataFrame([(0, "1", "zq x7", "1"), (1, "2", "garden chairs", "2"), (2, "3", "drills", "3")], schema)
+    inputs = spark.createDataFrame([(0, "a", "x7 motorbikes and bearings", "a"), (1, "b", "wwww", "b")], schema)
+    got = {r.ord: (r.match_id, r.confidence) for r in pipelines.flat(inputs, refs).collect()}
+    # of the reference's three terms, all as rare, the input has one
+    assert got[0] == ("1", pytest.approx(3**-0.5)) and got[1][0] is None
+    none = {r.ord: r.match_id for r in pipelines.flat(inputs, refs, replace(DEFAULT, backfill_top=0)).collect()}
+    assert none == {0: None, 1: None}
+    auto = {r.ord: r.match_id for r in pipelines.automatic(inputs, refs).collect()}
+    assert auto[0] == "1"
+
+
 def test_streams(spark, tmp_path):
     from taxoweave.streaming import extension
 
