@@ -62,8 +62,9 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return up.join(nodes.select(F.col("id").alias("ancestor_id"), F.col("name").alias("ancestor_name")), "ancestor_id")
 
 
-def branch_context(tree: DataFrame, most: int = 50) -> DataFrame:
-    """For each root: its leaves first, then its other nodes, in order, up to ``most``."""
+def branch_context(tree: DataFrame, most: int | None = 50) -> DataFrame:
+    """For each root: its leaves first, then its other nodes, in order, up to ``most`` (all, if None)."""
     root = text.root_of(F.col("path_ids"))
     order = Window.partitionBy("root_id").orderBy(F.col("is_leaf").desc(), "ord")
-    return tree.withColumn("root_id", root).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    placed = tree.withColumn("root_id", root).withColumn("place", F.row_number().over(order))
+    return placed if most is None else placed.where(F.col("place") <= most)

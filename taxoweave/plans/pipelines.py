@@ -65,7 +65,8 @@ def hierarchical(inputs: DataFrame, refs: DataFrame, settings: Settings = DEFAUL
     routed = routing.exact_router(mine, theirs, settings)
     left = routed.where("match_id is null").drop("confidence", "match_id", "match_method")
     grouped = left.join(routing.branch_groups(left, theirs, settings).select("key", "root_id"), "key")
-    context = tree.branch_context(ref_tree, settings.branch_context)
+    # only a prompt has to be short
+    context = tree.branch_context(ref_tree, None if answer is None else settings.branch_context)
     if answer is None:
         pairs = grouped.select("key", text.path_words(F.col("full_path")).alias("a"), "root_id").join(context.select("root_id", F.col("id").alias("match_id"), "place", text.path_words(F.col("full_path")).alias("b")), "root_id")
         scored = pairs.withColumn("s", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).where("s > 0")

@@ -112,6 +112,14 @@ def test_pipelines_keep_every_input(spark):
     assert ("3", 0.9) in asked.values() and set(asked) == {"b", "c", "d", "e"}
 
 
+def test_best_path_may_be_late_in_its_branch(spark):
+    schema = "ord long, id string, name string, path string"
+    rows = [(0, "r", "Tools", "r")] + [(i, f"l{i}", f"leaf{i} tools", f"r>l{i}") for i in range(1, 70)] + [(70, "best", "blue hammer", "r>best")]
+    inputs = spark.createDataFrame([(0, "a", "Tools", "a"), (1, "b", "hammer blue", "a>b")], schema)
+    got = {r.input_id: r.match_id for r in pipelines.hierarchical(inputs, spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"b": "best"}
+
+
 def test_flat_fills_up_with_vector_hits(spark):
     from dataclasses import replace
 
