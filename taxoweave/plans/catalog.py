@@ -431,6 +431,15 @@ def embedding_cosine(spark, d):
     return e.crossJoin(one).groupBy("label").agg(F.count("*").alias("n"), rounded(F.avg(tfidf.dense_cosine(F.col("embedding"), F.col("c")))).alias("mean"))
 
 
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS c FROM embeddings ORDER BY vec_id LIMIT 20), s AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], c::DOUBLE[]), 9) AS score FROM embeddings, q WHERE vec_id <> query_id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score IS NOT NULL) SELECT query_id, vec_id, label, round(score, 6) AS score, rank::INTEGER AS rank FROM o WHERE rank <= 10")
+def embedding_cosine_topk(spark, d):
+    """The 10 nearest other vectors of each of the 20 vectors with the smallest vec_id."""
+    e = table(spark, d, "embeddings")
+    few = F.broadcast(e.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("c")))  # 20 rows
+    scored = e.join(few, F.col("vec_id") != F.col("query_id")).withColumn("score", rounded(tfidf.dense_cosine(F.col("embedding"), F.col("c")), 9)).where("score is not null")
+    return candidates.top(scored, 10, "query_id", order="vec_id").select("query_id", "vec_id", "label", rounded("score").alias("score"), "rank")
+
+
 # ---- branches and batches ------------------------------------------------------------------------
 
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(array_to_string(names, ' ')), '\s+'), lambda w: w <> ''))"
