@@ -279,7 +279,7 @@ _POSSIBLE = "9 * (least(pos, hpos) + 1 + least(n - pos, hn - hpos) - 1) >= 4 * (
 
 
 class _Linked(NamedTuple):
-    """sets: of each document; classes: f1, f2, rep, node; small: the sets of the classes that may be linked;
+    """sets: of each document, with a mark of its text where ids repeat; classes: f1, f2, rep, node; small: the sets of the classes that may be linked;
     label: node, component of those that are; many: whether a doc_id is on several rows."""
 
     sets: DataFrame
@@ -301,11 +301,12 @@ def _linked(docs: DataFrame, width: int) -> _Linked:
     large group of copies costs its size and not its square. Links inside a component that is joined
     already aren't looked for here: linked_pairs() has all of them.
     """
-    own = spread(docs.select("doc_id", "text").where("doc_id is not null"))
-    many = repeats_ids(own)
+    many = repeats_ids(docs)
+    mark = F.xxhash64("text") if many else F.lit(0).cast("long")
+    own = spread(docs.select("doc_id", mark.alias("mark"), "text").where("doc_id is not null"))
     bits = cell_bits(own, "text")
     sketch = repeated(own.select("text"), partial(_hashes, width=width), bits, HOT)
-    sets = keep(own.mapInPandas(partial(_sets, width=width, sketch=sketch), "doc_id long, n long, f1 long, f2 long, t array<long>, pos array<int>, keys binary"), "sets")
+    sets = keep(own.mapInPandas(partial(_sets, width=width, sketch=sketch), "doc_id long, mark long, n long, f1 long, f2 long, t array<long>, pos array<int>, keys binary"), "sets")
     sketch.destroy()
     classes = keep(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     if many:
@@ -389,12 +390,19 @@ def _counted(batches: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFra
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs without those that links or equal sets join to a smaller doc_id.
 
-    Rows without a doc_id stay; of repeated rows with one doc_id and text one stays."""
-    later = linked_components(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(later, F.col("doc_id") == F.col("__id"), "left_anti")
-    if repeats_ids(docs):
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
-    return left
+    Rows without a doc_id stay; of repeated rows with one doc_id and text one stays. Different texts
+    under one doc_id are judged one by one; if they are linked, the one with the smaller hash stays."""
+    if not repeats_ids(docs):
+        later = linked_components(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+        return docs.join(later, F.col("doc_id") == F.col("__id"), "left_anti")
+    sets, classes, _, label, _ = _linked(docs, width)
+    label = label.select(F.col("node").alias("__node"), "component")
+    named = classes.join(label, F.col("node") == F.col("__node"), "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
+    rows = sets.where("n > 0").join(named, ["f1", "f2"]).select("component", F.struct("doc_id", "mark").alias("row")).distinct()
+    first = rows.groupBy("component").agg(F.min("row").alias("first"))
+    later = rows.join(first, "component").where("row <> first").select(F.col("row.doc_id").alias("__id"), F.col("row.mark").alias("__mark"))
+    left = docs.where("doc_id is not null").join(later, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__mark")), "left_anti")
+    return left.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -142,6 +142,15 @@ def test_one_of_each(docs):
     assert ids.count(41) <= 2 and ids.count(None) == 1 and not {61, 63, 65} & set(ids)
 
 
+def test_one_of_each_judges_texts_of_one_id_apart(spark):
+    a, b, clean = ([f"{x}{i}" for i in range(120)] for x in "abc")
+    near = lambda words: " ".join(words[:-1] + ["new"])
+    rows = [(1, " ".join(a)), (5, near(a)), (5, " ".join(clean)), (9, " ".join(b)), (9, near(b)), (None, near(a))]
+    left = [tuple(r) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(r[0] for r in left if r[0]) == [1, 5, 9] and len(left) == 4
+    assert (5, " ".join(clean)) in left and (1, " ".join(a)) in left
+
+
 def test_tree_walks_find_what_brute_force_does():
     rng = random.Random(1)
     for _ in range(40):
