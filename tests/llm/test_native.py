@@ -44,6 +44,18 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_relative_links_are_edges(spark):
+    at = "http://a.com/x/y/page.html?q=1"
+    want = {"../de/7": "/x/de/7", "other.html": "/x/y/other.html", "?id=3": "/x/y/page.html?id=3", "./": "/x/y/", "../../../../z?a=/../b#f": "/z?a=/../b", "..": "/x/", "/r": "/r"}
+    rows = [(i, at, f'<link rel="canonical" href="{to}">') for i, to in enumerate([*want, "#top", "mailto:a@b.c", "javascript:void(0)"])]
+    rows += [(90, "http://b.com", '<meta http-equiv="refresh" content="0; url=p/q">'), (91, "no url", '<link rel=canonical href="p">'), (92, at, "<link rel=canonical>")]
+    edges = {(r.u, r.v) for r in urlfilter.link_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert edges == {("a.com/x/y/page.html?q=1", "a.com" + v) for v in want.values()} | {("b.com", "b.com/p/q")}
+    rows = [(0, "http://q.net/en/1", '<link rel="canonical" href="../de/7">'), (1, "http://q.net/de/7", "")]
+    got = {r.page_id: (r.verdict, r.alias) for r in urlfilter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=(("net/de/", "block"),)).collect()}
+    assert got == {0: ("block", True), 1: ("block", False)}
+
+
 def page(i, url, html=""):
     return (i, url, html)
 
