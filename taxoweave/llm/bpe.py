@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+from collections.abc import Collection
 from unicodedata import is_normalized
 
 import numpy as np
@@ -127,57 +128,62 @@ class Merges:
         return left
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids of words, as little-endian 32-bit bytes, remembered up to a limit.
 
     The tokenizer never joins across white space, so a text's ids are its words' ids in a row.
     """
 
     def __init__(self, path: str, limit: int = 900_000):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.known: dict[bytes, bytes] = {}
         self.tokenizer, self.merges, self.limit = Tokenizer.from_file(path), Merges(path), limit
 
     def by_library(self, words: list[bytes]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in coded]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > self.limit:
-            self.clear()
-        cores: dict[bytes, int] = {}
-        cores[b""] = 0  # no end
+    def learn(self, words: Collection[bytes]) -> None:
+        """words: different ones."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = list(words)
+        cores: dict[bytes, int] = {b"": 0}  # no end
         number = cores.setdefault
         plain, odd = [], []
-        new = list(words.difference(self.keys()))
-        for w, text in zip(new, b"\n".join(new).decode("utf-8", "replace").split("\n") if new else (), strict=True):
-            tail, core = b"", text
+        joined = b"\n".join(new).decode("utf-8", "replace")
+        lower, composed = joined.lower(), is_normalized("NFC", joined)
+        for w, text, low, key in zip(new, joined.split("\n"), lower.split("\n"), lower.encode().split(b"\n"), strict=True) if new else ():
+            n = 0
             if not text.isalpha():
                 last = text[-1]
                 core = text.rstrip(last)
-                if last not in _ENDS or not core.isalpha():
+                n = len(text) - len(core)
+                if last not in _ENDS or n > LONGEST or not core.isalpha():
                     odd.append(w)
                     continue
-                tail = w[len(core) - len(text) :]
-            low = core.lower()
-            if not text.isascii() and not (is_normalized("NFC", core) and "Σ" not in core and low.isalpha()):
+                text, low, key = core, low[:-n], key[:-n]
+            # a sigma is lowered by its place in the word, and some letters become two
+            if len(key) > LONGEST or not text.isascii() and not ((composed or is_normalized("NFC", text)) and "Σ" not in text and low.isalpha()):
                 odd.append(w)
                 continue
-            key = low.encode()
-            if len(key) > LONGEST or len(tail) > LONGEST:
-                odd.append(w)
-                continue
-            plain.append((w, number(key, len(cores)), number(tail, len(cores))))
+            plain.append((w, number(key, len(cores)), number(w[-n:], len(cores)) if n else 0))
         parts = [b"", *self.merges.apply(list(cores)[1:])]
-        self.update((w, parts[a] + parts[b]) for w, a, b in plain)
+        self.known.update((w, parts[a] + parts[b] if b else parts[a]) for w, a, b in plain)
         for at in range(0, len(odd), 10_000):
-            self.update(zip(odd[at : at + 10_000], self.by_library(odd[at : at + 10_000]), strict=True))
+            self.known.update(zip(odd[at : at + 10_000], self.by_library(odd[at : at + 10_000]), strict=True))
+
+    def each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some different words."""
+        self.learn(words)
+        return list(map(self.known.__getitem__, words))
 
     def of(self, words: list[bytes]) -> bytes:
-        """Ids of words that were learnt just now."""
-        return b"".join(map(self.__getitem__, words))
+        """Ids of words, in a row, that were learnt just now."""
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @functools.lru_cache(maxsize=1)

@@ -8,18 +8,22 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import word_ids
-from .inputs import filled, spread, unfilled
+from .inputs import spread
 from .scratch import keep
-from .words import split
 
 MAX_TOKENS = 4096
 END_ID = 1
-#: Rows of one length that one task ranks; longer runs are dealt out by a hash.
-RANKED_TOGETHER = 200_000
+#: Rows of one length are ranked in parts: of this many rows at least, and so that there are about PARTS parts at most.
+LEAST, PARTS = 500, 20_000
+#: Bytes of text that are tokenized together.
+TOGETHER = 8 << 20
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def tokenizer_path() -> str:
@@ -28,21 +32,50 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _pieces(batches: Iterable[pd.DataFrame], path: str, most: int, end: int, with_ids: bool) -> Iterator[pd.DataFrame]:
+def _token_ids(texts: pa.Array, known) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts in a row, and how many each has. Words are told apart in Arrow, so that Python
+    sees each different word once."""
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten()
+    of = pc.list_parent_indices(lists).to_numpy()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end splits off an empty one
+    if full.false_count:
+        words, of = words.filter(full), of[full.to_numpy(zero_copy_only=False)]
+    coded = words.dictionary_encode()
+    ids = known.each(coded.dictionary.cast(pa.binary()).to_pylist())
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+    word = coded.indices.to_numpy()
+    many = sizes[word]
+    ends = np.cumsum(many)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.repeat(start[word] - ends + many, many)
+    at += np.arange(total)
+    return flat[at], np.bincount(of, many, minlength=len(texts)).astype(np.int64)
+
+
+def _pieces(batches: Iterable[pa.RecordBatch], path: str, most: int, end: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     known, last = word_ids(path), np.array([end], "<u4").tobytes()
-    for pdf in batches:
-        for at in range(0, len(pdf), 500):
-            part = pdf.iloc[at : at + 500]
-            words = [split(text) for text in part["text"]]
-            known.learn(set().union(*words))
-            rows = []
-            for doc_id, no_id, own in zip(part["doc_id"], part["__no_id"], words, strict=True):
-                ids = known.of(own) + last
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:  # so many texts at once that they are of bounded size, or one
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, side="right")))
+            part = batch.slice(at, to - at)
+            flat, many = _token_ids(part["text"], known)
+            flat, rows, a = flat.tobytes(), [], 0
+            for row, n in enumerate(many.tolist()):
+                ids = flat[a : a + 4 * n] + last
+                a += 4 * n
                 for piece, start in enumerate(range(0, len(ids), 4 * most)):
                     cut = ids[start : start + 4 * most]
-                    rows.append((doc_id, no_id, piece, start // 4, len(cut) // 4, zlib.crc32(cut), cut if with_ids else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "__no_id", "piece", "start", "length", "ids_crc32", "ids"])
-            yield out if with_ids else out.drop(columns="ids")
+                    rows.append((row, piece, start // 4, len(cut) // 4, zlib.crc32(cut), cut))
+            row, piece, start, length, crc, cuts = zip(*rows, strict=True)
+            columns = [part["doc_id"].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = [c.split()[0] for c in PIECE.split(", ")]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(cuts, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+            at = to
 
 
 class Plan:
@@ -122,11 +155,12 @@ class Plan:
         return pd.DataFrame(rows, columns=["length", "first", "times", "sequence", "offset"]).sort_values(["length", "first"], ignore_index=True)
 
 
-def _place(batches: Iterable[pd.DataFrame], places) -> Iterator[pd.DataFrame]:
+def _place(batches: Iterable[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]:
+    """The last column, a rank, becomes sequence_id and offset."""
     runs = {x: g.to_numpy() for x, g in places.value.groupby("length")}
-    for pdf in batches:
-        sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        rank, length = pdf["rank"].to_numpy(np.int64), pdf["length"].to_numpy(np.int64)
+    for batch in batches:
+        length, rank = (batch[c].to_numpy().astype(np.int64) for c in ("length", "rank"))
+        sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
         order = np.argsort(length, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
             run, r = runs[length[part[0]]], rank[part]
@@ -134,7 +168,8 @@ def _place(batches: Iterable[pd.DataFrame], places) -> Iterator[pd.DataFrame]:
             nth, inside = divmod(r - row[:, 1], row[:, 2])
             sequence[part] = row[:, 3] + inside
             offset[part] = row[:, 4] + nth * row[:, 0]
-        yield pdf.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+        columns = [batch[i] for i in range(batch.num_columns - 1)] + [pa.array(sequence), pa.array(offset)]
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1] + ["sequence_id", "offset"])
 
 
 def pack(docs: DataFrame, path: str | None = None, most: int = MAX_TOKENS, end: int = END_ID, ids: bool = False) -> DataFrame:
@@ -148,28 +183,29 @@ def pack(docs: DataFrame, path: str | None = None, most: int = MAX_TOKENS, end:
     over counts of lengths: best-two-fit makes one sequence (the largest that fits, again and again,
     then the smallest document is replaced by the two unpacked ones that fit its widened gap more
     tightly, while any do), and uses it as often as the counts allow. The plan's size depends on
-    ``most`` alone. Documents of one length are then ranked, long runs in parts dealt by a hash,
-    and a rank says which sequence and place.
+    ``most`` alone. A bin of one document isn't touched: as it holds the largest one that was left,
+    two others in its place would put the hardest one off. Documents of one length are then ranked
+    in parts dealt by a hash, and a rank says which sequence and place. A very long text is
+    tokenized whole, by one task.
     """
-    columns = "doc_id long, __no_id boolean, piece int, start long, length long, ids_crc32 long"
-    texts = filled(spread(docs.select("doc_id", "text")))
-    made = texts.mapInPandas(partial(_pieces, path=path or tokenizer_path(), most=most, end=end, with_ids=ids), columns + (", ids binary" if ids else ""))
-    made = keep(made, "pieces")
-    counted = made.groupBy("length").agg(F.count("*").alias("n"))
+    spark, columns = docs.sparkSession, PIECE + ", ids binary" * ids
+    texts = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    made = keep(texts.mapInArrow(partial(_pieces, path=path or tokenizer_path(), most=most, end=end, with_ids=ids), columns), "pieces")
     counts = np.zeros(most + 1, np.int64)
-    for row in counted.collect():  # at most ``most`` rows
+    for row in made.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``most`` rows
         counts[row["length"]] = row["n"]
-    places = made.sparkSession.sparkContext.broadcast(Plan(counts, most).places())
-    parts = F.create_map(*[x for k in np.flatnonzero(counts > RANKED_TOGETHER) for x in (F.lit(int(k)).cast("long"), F.lit(int(-(-counts[k] // RANKED_TOGETHER))).cast("long"))]) if (counts > RANKED_TOGETHER).any() else None
-    many = F.coalesce(F.element_at(parts, F.col("length")), F.lit(1).cast("long")) if parts is not None else F.lit(1).cast("long")
-    dealt = made.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), many))
+    places = spark.sparkContext.broadcast(Plan(counts, most).places())
+    # a length is ranked in parts, whose number is at most ``most`` + PARTS, whatever the data
+    together = max(LEAST, -(-int(counts.sum()) // PARTS))
+    lengths = spark.createDataFrame([(int(x), int(-(-counts[x] // together))) for x in np.flatnonzero(counts)], "length long, parts long")
+    dealt = made.join(F.broadcast(lengths), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), "parts"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("first"))
-    inside = Window.partitionBy("length", "part").orderBy("__no_id", "doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("nth", F.row_number().over(inside) - 1).join(starts, ["length", "part"])
-    names = [c.split()[0] for c in columns.split(", ")] + ["ids"] * ids
+    inside = Window.partitionBy("length", "part").orderBy(F.col("doc_id").asc_nulls_last(), "piece", "ids_crc32")
+    ranked = dealt.withColumn("nth", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["length", "part"])
+    names = [c.split()[0] for c in columns.split(", ")]
     ranked = ranked.select(*names, (F.col("first") + F.col("nth")).alias("rank"))
-    return unfilled(ranked.mapInPandas(partial(_place, places=places), columns + (", ids binary" if ids else "") + ", sequence_id long, offset long"))
+    return ranked.mapInArrow(partial(_place, places=places), columns + ", sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
