@@ -47,14 +47,18 @@ def unpack(column: pd.Series, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(len(column), width)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
-    """Columns of the ``top`` highest scores of a row, ties to smaller ids; scores of -inf are none."""
+def best(scores: np.ndarray, ids: np.ndarray, top: int, exact: np.ndarray | None = None) -> np.ndarray:
+    """Columns of the ``top`` highest scores of a row, ties to smaller ids; scores of -inf are none.
+
+    exact: whole numbers of which the scores are the doubles next to them; they decide then."""
     if len(scores) > 8 * top:
         floor = np.partition(scores, len(scores) - top)[len(scores) - top]
         at = np.flatnonzero(scores >= floor)
     else:
         at = np.arange(len(scores))
     at = at[scores[at] > -np.inf]
+    if exact is not None:
+        return np.array(sorted(at.tolist(), key=lambda j: (-exact[j], ids[j]))[:top], np.int64)
     return at[np.lexsort((ids[at], -scores[at]))][:top]
 
 
@@ -97,7 +101,8 @@ def _whole(batches: Iterable[pd.DataFrame], scale: int, width: int, kind: str, p
     p = pivots.value
     for pdf in batches:
         x = np.floor(scale * matrix(pdf["v"], width))
-        far = np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T, 0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            far = np.nan_to_num(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T, 0), nan=np.inf)
         near = far.argmin(1) if len(x) else np.zeros(0, int)
         dist = np.sqrt(((x - p[near]) ** 2).sum(1))
         yield pd.DataFrame({"id": pdf["id"], "pivot": near.astype(np.int32), "dist": dist, "norm": (x * x).sum(1), "v": [r.tobytes() for r in x.astype(kind)]})
@@ -114,7 +119,8 @@ def _bounds(q: np.ndarray, pivots: np.ndarray, cells: pd.DataFrame) -> np.ndarra
     least = np.maximum(np.maximum(to - hi, lo - to) - 1e-6 * (1 + to + hi), 0)
     by_distance = ((q * q).sum(1)[:, None] + norm - least**2) / 2
     by_pivot = q @ p.T + np.sqrt((q * q).sum(1))[:, None] * hi
-    return np.minimum(by_distance, by_pivot) * (1 + 1e-9) + 1e-6 * np.abs(by_pivot) + 1
+    # what is too large for doubles rules nothing out
+    return np.nan_to_num(np.minimum(by_distance, by_pivot) * (1 + 1e-9) + 1e-6 * np.abs(by_pivot) + 1, nan=np.inf, posinf=np.inf)
 
 
 def _route(batches: Iterable[pd.DataFrame], width: int, kind: str, shared, top: int, first: bool) -> Iterator[pd.DataFrame]:
@@ -154,13 +160,15 @@ def _products(batches: Iterable[pd.DataFrame], width: int, kind: str, top: int)
             s = q.astype(np.float64) @ x.T  # whole numbers below 2**53 are exact
             exact = None
         else:
-            exact = q.astype(object) @ x.astype(np.int64).astype(object).T
-            s = exact.astype(np.float64)
+            whole = np.vectorize(int, otypes=[object])
+            exact = whole(q) @ whole(x).T
+            s = np.vectorize(lambda v: float(v) if abs(v) < 1 << 1023 else math.copysign(1.7e308, v), otypes=[float])(exact)
         s[rows["id"].to_numpy()[:, None] == ids[None]] = -np.inf
         out = []
         for i, (query, floor) in enumerate(zip(rows["id"], rows["floor"], strict=True)):
-            at = best(np.where(s[i] >= floor, s[i], -np.inf), ids, top)
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "score": [int(v) for v in (s[i][at] if exact is None else exact[i][at])]}))
+            at = best(np.where(s[i] >= floor, s[i], -np.inf), ids, top, None if exact is None else exact[i])
+            score = [max(-(1 << 63), min((1 << 63) - 1, int(v))) for v in (s[i][at] if exact is None else exact[i][at])]
+            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     return _stream(batches, ["cell", "part"], build, search)
@@ -179,9 +187,13 @@ def exact_top(rows: DataFrame, queries: Callable[[Column], Column] = lambda c: c
     triangle inequality gives, at first until they hold enough vectors, and then only rings whose
     bound reaches its k-th score so far: all others can't hold a result. Rings with many vectors
     are split into blocks. Pivots and rings are bounded in number, so their table is too.
+
+    Scores are whole numbers and ranked as such; one beyond 64 bits counts as the nearest number
+    within. Components so large that ``scale`` times them is no finite double are like
+    non-finite ones.
     """
     spark = rows.sparkSession
-    good = usable(rows)
+    good = usable(rows).where(F.forall("v", lambda x: F.abs(x * scale) < float("inf")))
     about = good.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
     if not about.n or not about.width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if not about.n else _flat(good, queries, top)
@@ -189,13 +201,14 @@ def exact_top(rows: DataFrame, queries: Callable[[Column], Column] = lambda c: c
     n_pivots = max(1, min(PIVOTS, math.isqrt(cells_wanted) * 2, cells_wanted))
     n_rings = max(1, cells_wanted // n_pivots)
     top_value = scale * about.most + 1
-    kind = "<i2" if top_value < 2**15 else "<i4" if top_value < 2**31 else "<i8"
+    kind = "<i2" if top_value < 2**15 else "<i4" if top_value < 2**31 else "<f8"  # whole doubles
     sample = np.floor(scale * matrix([r.v for r in good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], about.width))
     chosen = [0]
-    far = ((sample - sample[0]) ** 2).sum(1)
-    while len(chosen) < min(n_pivots, len(sample)) and far.max() > 0:
-        chosen.append(int(far.argmax()))  # the farthest from all pivots so far
-        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    with np.errstate(over="ignore", invalid="ignore"):
+        far = np.nan_to_num(((sample - sample[0]) ** 2).sum(1))
+        while len(chosen) < min(n_pivots, len(sample)) and far.max() > 0:
+            chosen.append(int(far.argmax()))  # the farthest from all pivots so far
+            far = np.minimum(far, np.nan_to_num(((sample - sample[chosen[-1]]) ** 2).sum(1)))
     pivots = sample[chosen]
     keyed = keep(spread(good).mapInPandas(partial(_whole, scale=scale, width=about.width, kind=kind, pivots=spark.sparkContext.broadcast(pivots)), "id long, pivot int, dist double, norm double, v binary"), "keyed")
     cuts = keyed.groupBy("pivot").agg(F.percentile_approx("dist", [i / n_rings for i in range(1, n_rings)] or [0.5], 1000).alias("cuts"))
