@@ -30,3 +30,11 @@ def filled(df: DataFrame, column: str = "doc_id") -> DataFrame:
 def unfilled(df: DataFrame, column: str = "doc_id") -> DataFrame:
     """The nulls of filled() again."""
     return df.withColumn(column, F.when(~F.col("__no_id"), F.col(column))).drop("__no_id")
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that no column has (names don't tell upper and lower case apart)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low or name.lower() in ("doc_id", "text"):
+        name = "_" + name
+    return name

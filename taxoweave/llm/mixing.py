@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .inputs import unused
 from .scratch import keep
 
 #: A word is a run of anything but space and the five ASCII controls from tab to carriage return.
@@ -85,13 +86,15 @@ def mix(docs: DataFrame, seed: str = "mix", key: str = "doc_id") -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The rows of documents, each as often as the mix takes it; columns as they came."""
-    names = docs.columns
+    """The rows of documents, each as often as the mix takes it; all columns as they came, whatever their
+    names. Null texts have no words and are taken by their source's rate all the same."""
+    held, own = unused("row", docs.columns), unused("source", docs.columns)
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rates = _rates(docs.select("source", words.alias("size"))).select("__source", F.col("rate").alias("__rate"))
-    copies = F.floor("__rate") + (seeded_fraction(seed, F.col("doc_id")) < F.col("__rate") - F.floor("__rate")).cast("long")
-    taken = docs.join(rates, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", copies)
-    return taken.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*names)
+    rates = _rates(docs.select("source", words.alias("size"))).select(F.col("__source").alias(own), "rate")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(held))  # no name of a column can clash
+    copies = F.floor("rate") + (seeded_fraction(seed, F.col(held)["doc_id"]) < F.col("rate") - F.floor("rate")).cast("long")
+    taken = rows.join(rates, F.col(held)["source"].eqNullSafe(F.col(own))).select(held, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return taken.select(*[F.col(held).getField(c).alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB's SQL.
