@@ -134,7 +134,7 @@ class WordIds:
     The tokenizer never joins across white space, so a text's ids are its words' ids in a row.
     """
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -151,6 +151,9 @@ class WordIds:
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = list(words)
+        self.known.update(self._worked_out(new))
+
+    def _worked_out(self, new: list[bytes]) -> dict[bytes, bytes]:
         cores: dict[bytes, int] = {b"": 0}  # no end
         number = cores.setdefault
         plain, odd = [], []
@@ -172,14 +175,19 @@ class WordIds:
                 continue
             plain.append((w, number(key, len(cores)), number(w[-n:], len(cores)) if n else 0))
         parts = [b"", *self.merges.apply(list(cores)[1:])]
-        self.known.update((w, parts[a] + parts[b] if b else parts[a]) for w, a, b in plain)
+        out = {w: parts[a] + parts[b] if b else parts[a] for w, a, b in plain}
         for at in range(0, len(odd), 10_000):
-            self.known.update(zip(odd[at : at + 10_000], self.by_library(odd[at : at + 10_000]), strict=True))
+            out.update(zip(odd[at : at + 10_000], self.by_library(odd[at : at + 10_000]), strict=True))
+        return out
 
     def each(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each of some different words."""
-        self.learn(words)
-        return list(map(self.known.__getitem__, words))
+        """The ids of each of some different words. Once the limit is reached, the words known by then stay
+        known, which frequent ones are, and others are worked out each time."""
+        known = self.known
+        fresh = self._worked_out([w for w in words if w not in known])
+        if len(known) + len(fresh) <= self.limit:
+            known.update(fresh)
+        return [known[w] if w in known else fresh[w] for w in words]
 
     def of(self, words: list[bytes]) -> bytes:
         """Ids of words, in a row, that were learnt just now."""
