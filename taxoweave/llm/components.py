@@ -35,7 +35,7 @@ def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every end of an edge of ``edges`` (u, v); component is its least node.
+    """A kept table (node, component) for every end of an edge of ``edges`` (u, v); component is its least node.
 
     Nulls in either end and edges from a node to itself say nothing and are left out, so a node
     with no other edge isn't in the result. No edges: an empty result. Each round is written to
@@ -52,4 +52,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen[0]:
             raise RuntimeError("connected components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = keep(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    drop(now)
+    return out

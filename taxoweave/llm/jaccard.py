@@ -11,36 +11,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import Chunk, chunked, windows
 from .components import connected_components
-from .inputs import repeats_ids, spread
+from .inputs import repeats_ids, spread, unused
 from .scratch import drop, keep
-from .sketch import cell_bits, repeated
-from .words import Rolling, WordHashes, mixed, split
+from .sketch import Cells, answered
+from .words import Rolling, mixed, split
 
 WIDTH = 5
 #: Shingles that the sketch estimates in this many documents come last in the global order.
 HOT = 64
 #: Shingles of the sets that one tree holds, and sets of a tree that gives every pair.
 TREE, LEAVES = 250_000, 250
-#: Pairs given out at once.
-GIVEN = 100_000
-
-
-def shingles(text: str | None, known: WordHashes, rolls: dict[int, Rolling], width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of a text's word n-grams, A-Z in lower case; a shorter text is one n-gram."""
-    words = split(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = min(width, len(words))
-    out = rolls.setdefault(n, Rolling(n)).of(known.of([w.lower() for w in words]))
-    return np.unique(out) if n == width else mixed(out ^ np.uint64(n))
-
-
-def _hashes(batches: Iterable[pd.DataFrame], width: int) -> Iterator[np.ndarray]:
-    known, rolls = WordHashes(), {}
-    for pdf in batches:
-        for text in pdf["text"]:
-            yield shingles(text, known, rolls, width)
+#: Documents of a family that are in one tree, and that are tried against it in one task.
+MOST = 500
+#: Pairs given out at once, and bytes of sets.
+GIVEN, TOGETHER = 100_000, 4 << 20
+#: Linked sets lie in the same or in neighbouring bands of lengths: a little over 1 / 0.8.
+BAND = 1.26
+
+
+def _shingles(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word n-grams of a chunk's documents, and the documents' places; a document with
+    fewer words is one n-gram."""
+    at, doc = windows(chunk, width)
+    hashes, docs = [Rolling(width).of(chunk.one)[at] if len(at) else np.zeros(0, np.uint64)], [doc]
+    for n in range(1, width):
+        short = np.flatnonzero(chunk.sizes == n)
+        if len(short):
+            hashes.append(mixed(Rolling(n).of(chunk.one)[chunk.starts[short]] ^ np.uint64(n)))
+            docs.append(short)
+    return np.concatenate(hashes), np.concatenate(docs)
 
 
 def _prefix(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,23 +53,34 @@ def _prefix(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[pos], pos
 
 
-def _sets(batches: Iterable[pd.DataFrame], width: int, sketch) -> Iterator[pd.DataFrame]:
-    known, rolls, marks = WordHashes(), {}, sketch.value
-    for pdf in batches:
-        for at in range(0, len(pdf), 1000):
-            rows, part = [], pdf.iloc[at : at + 1000]
-            for text in part["text"]:
-                h = shingles(text, known, rolls, width)
-                n = len(h)
-                one, two = mixed(h).sum(dtype=np.uint64), mixed(h ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
-                order = marks(h).astype(np.uint64)
-                order += (order > 0) & marks.hot(h)
-                # the global order: shingles of one document, then of several, then of many; then by hash
-                keys = np.sort(order << np.uint64(62) | h >> np.uint64(2))
-                first, pos = _prefix(keys)
-                rows.append((n, one.view(np.int64), two.view(np.int64), first.view(np.int64), pos.astype(np.int32), keys.astype(">u8").tobytes() if len(pos) else None))
-            out = pd.DataFrame(rows, columns=["n", "f1", "f2", "t", "pos", "keys"], index=part.index)
-            yield pd.concat([part.drop(columns="text"), out], axis=1)
+def _sets(chunk: Chunk, cells: Cells, replies: list) -> Iterator[pd.DataFrame]:
+    """Of each document its set in the global order: shingles of one document, then of several, then of
+    many; then by hash."""
+    repeated, hot = cells.flags(replies)
+    keys = (repeated.astype(np.uint64) + (repeated & hot)) << np.uint64(62) | cells.hashes >> np.uint64(2)
+    order = np.lexsort((keys, cells.docs))
+    keys, doc, h = keys[order], cells.docs[order], cells.hashes[order]
+    n = np.bincount(doc, minlength=len(chunk.sizes))
+    start = np.cumsum(n) - n
+    pos = np.arange(len(doc)) - start[doc]
+    pick = np.flatnonzero((pos < (n - -(-4 * n // 5) + 1)[doc]) & (keys >> np.uint64(62) > 0))
+    per = np.bincount(doc[pick], minlength=len(n))
+    some, f = np.flatnonzero(n), np.zeros((2, len(n)), np.uint64)
+    if len(some):
+        f[0, some] = np.add.reduceat(mixed(h), start[some])
+        f[1, some] = np.add.reduceat(mixed(h ^ np.uint64(0xA0761D6478BD642F)), start[some])
+    f = f.view(np.int64)
+    t, pos, data = keys[pick].view(np.int64), pos[pick].astype(np.int32), keys.astype(">u8").tobytes()
+    ends = np.cumsum(per)
+    a = 0
+    while a < len(n):  # so many documents at once that their sets are of bounded size, or one
+        b = max(a + 1, int(np.searchsorted(8 * (start + n), 8 * start[a] + TOGETHER, side="right")))
+        out = []
+        for i in range(a, min(b, len(n))):
+            some = slice(ends[i] - per[i], ends[i])
+            out.append((chunk.ids[i], chunk.marks[i], n[i], f[0, i], f[1, i], t[some], pos[some], data[8 * start[i] : 8 * (start[i] + n[i])] if per[i] else None))
+        yield pd.DataFrame(out, columns=["doc_id", "mark", "n", "f1", "f2", "t", "pos", "keys"])
+        a = b
 
 
 class PrefixTree:
@@ -164,32 +176,40 @@ def _search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _near(probe: np.ndarray, starts: dict[int, tuple[np.ndarray, np.ndarray]], size: np.ndarray) -> np.ndarray:
-    """The leaves, in order, that share an element of the prefix with the probe at places that leave
-    enough after it."""
-    m, near = len(probe), [np.zeros(0, np.int64)]
+    """The leaves, in order, that share elements of the prefix with the probe, so many that what comes
+    after the last of them can still make up for the rest."""
+    m, leaves, places, own = len(probe), [], [], []
     for t, i in zip(*_prefix(probe), strict=True):
         leaf, place = starts.get(int(t), ((), ()))
         if len(leaf):
-            n = size[leaf]
-            most = np.minimum(place, i) + np.minimum(n - place, m - i)
-            near.append(leaf[9 * most >= 4 * (n + m)])
-    return np.unique(np.concatenate(near))
+            leaves.append(leaf), places.append(place), own.append(np.full(len(leaf), i))
+    if not leaves:
+        return np.zeros(0, np.int64)
+    leaf = np.concatenate(leaves)
+    order = np.argsort(leaf, kind="stable")  # of one leaf in order of its elements
+    leaf, place, at = leaf[order], np.concatenate(places)[order], np.concatenate(own)[order]
+    last = np.append(np.flatnonzero(leaf[1:] != leaf[:-1]), len(leaf) - 1)
+    n, shared = size[leaf[last]], np.diff(last, prepend=-1)
+    most = shared + np.minimum(n - 1 - place[last], m - 1 - at[last])
+    return leaf[last][9 * most >= 4 * (n + m)]
 
 
 def _tree_join(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of (g, part, kind): the sets of a tree, then the sets to be tried against them.
+    """Rows in order of (hub, band, part, lane, kind): the sets of a tree, then the sets to be tried against them.
 
-    A probe walks to the leaves that share an element of the prefix at places that leave enough
-    after it, and no more to a component that it is linked with already."""
+    A probe walks to the leaves that share enough of the prefix, and no more to a component that it
+    is linked with already."""
     at, leaves, tree = None, [], None
     for pdf in batches:
         found = []
-        for g, part, kind, node, c, keys in zip(pdf["g"], pdf["part"], pdf["kind"], pdf["node"], pdf["c"], pdf["keys"], strict=True):
-            if (g, part) != at:
-                at, leaves, tree = (g, part), [], None
+        for *key, kind, node, c, keys in zip(*(pdf[x] for x in ("hub", "band", "part", "lane", "kind", "node", "c", "keys")), strict=True):
+            if key != at:
+                at, leaves, tree = key, [], None
             if kind == 0:
                 leaves.append((keys, (node, c)))
                 continue
+            if tree is None and not leaves:
+                continue
             if tree is None:
                 tree, leaves, joined = PrefixTree(leaves), [], {}
                 starts, size = tree.starts(), np.array([len(x) for x in tree.sets])
@@ -243,24 +263,35 @@ def _all_pairs(label: DataFrame, small: DataFrame) -> DataFrame:
     return rows.mapInPandas(_pair_join, "u long, v long, shared long")
 
 
-def _joined(posted: DataFrame, by_node: DataFrame) -> DataFrame:
-    """Links between components that share a prefix element: of each element, every document
-    outside its largest component against all others, in trees and not pair by pair.
-
-    Documents that such elements connect are one group; a group's sets are dealt to trees of bounded
-    size, and a probe goes to each tree of its group."""
-    sizes = posted.groupBy("t", "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("t").agg(F.max(F.struct("m", "c")).alias("b"), F.count("*").alias("k")).where("k > 1").select("t", F.col("b.c").alias("bc"))
-    met = keep(posted.join(main, "t").select("t", "node", "n", "c", (F.col("c") != F.col("bc")).alias("probe")), "postings")
-    first = met.groupBy("t").agg(F.min("node").alias("v"))
-    groups = connected_components(met.select("t", F.col("node").alias("u")).join(first, "t").select("u", "v")).select("node", F.col("component").alias("g"))
-    nodes = met.groupBy("node").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.max("probe").alias("probe")).join(groups, "node")
-    parts = nodes.groupBy("g").agg(F.ceil(F.sum("n") / TREE).cast("int").alias("parts"))
-    nodes = keep(nodes.join(parts, "g").join(by_node, "node"), "members")
-    leaves = nodes.select("g", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "node", "c", "keys")
-    probes = nodes.where("probe").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "node", "c", "keys")
-    rows = leaves.unionByName(probes).repartition("g", "part").sortWithinPartitions("g", "part", "kind")
-    return rows.mapInPandas(_tree_join, "u long, v long")
+def _joined(met: DataFrame, label: DataFrame, by_node: DataFrame) -> DataFrame:
+    """Links between components that share a prefix element, by trees and not pair by pair.
+
+    Documents that were tried against one hub are a family: all documents of an element are in one.
+    A family is a tree of its documents, and those outside its largest component are tried against
+    it. Families too large for a tree are cut into bands of lengths, and these into parts by a hash;
+    a document is tried in its own band and the two beside it, where all that it can be linked with
+    is. Those that are tried are dealt to lanes, so that no tree meets more than MOST of them.
+    """
+    posted = keep(met.join(label, "node", "left").select("t", "hub", "node", "n", F.coalesce("component", "node").alias("c")), "postings")
+    apart = posted.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
+    members = keep(posted.join(apart, "t", "left_semi").select("hub", "node", "n", "c").distinct(), "members")
+    sizes = members.groupBy("hub", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    main = sizes.groupBy("hub").agg(F.max(F.struct("m", "c")).getField("c").alias("bc"), (F.sum("n") > TREE).alias("cut"))
+    band = F.when(F.col("cut"), F.floor(F.log("n") / float(np.log(BAND))).cast("int")).otherwise(0)
+    placed = members.join(main, "hub").withColumn("band", band)
+    parts = placed.groupBy("hub", "band").agg(F.ceil(F.greatest(F.sum("n") / TREE, F.count("*") / MOST)).cast("int").alias("parts"))
+    tried = placed.where("c <> bc").select("hub", "node", "c", F.explode(F.when(F.col("cut"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
+    lanes = tried.groupBy("hub", "band").agg(F.ceil(F.count("*") / MOST).cast("int").alias("lanes"))
+    grid = parts.join(lanes, ["hub", "band"])
+    dealt = lambda n, *salt: F.pmod(F.xxhash64("node", *salt), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    leaves = placed.join(grid, ["hub", "band"]).select("hub", "band", dealt("parts").alias("part"), each("lanes").alias("lane"), F.lit(0).alias("kind"), "node", "c")
+    probes = tried.join(grid, ["hub", "band"]).select("hub", "band", each("parts").alias("part"), dealt("lanes", F.lit(3)).alias("lane"), F.lit(1).alias("kind"), "node", "c")
+    key = ["hub", "band", "part", "lane"]
+    rows = leaves.unionByName(probes).join(by_node, "node").repartition(*key).sortWithinPartitions(*key, "kind")
+    links = keep(rows.mapInPandas(_tree_join, "u long, v long"), "links")
+    drop(posted), drop(members)
+    return links
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -268,18 +299,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     is split by total length, so that a tree stays within TREE shingles (or one set)."""
     size = pairs.groupBy("hub").agg(F.ceil(F.sum("n") / TREE).alias("parts"))
     dealt = pairs.join(size, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("hub", "part", "node")
-    members = dealt.join(sets, "node").select("hub", "part", F.lit(1).alias("kind"), "node", "keys")
     hubs = size.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
-    hubs = hubs.join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(0).alias("kind"), F.col("hub").alias("node"), "keys")
-    rows = members.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
-    return rows.mapInPandas(_search, "u long, v long")
+    both = dealt.withColumn("kind", F.lit(1)).unionByName(hubs.select("hub", "part", F.col("hub").alias("node"), F.lit(0).alias("kind")))
+    rows = both.join(sets, "node").select("hub", "part", "kind", "node", "keys").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    return keep(rows.mapInPandas(_search, "u long, v long"), "links")
 
 
 _POSSIBLE = "9 * (least(pos, hpos) + 1 + least(n - pos, hn - hpos) - 1) >= 4 * (n + hn)"
 
 
 class _Linked(NamedTuple):
-    """sets: of each document, with a mark of its text where ids repeat; classes: f1, f2, rep, node; small: the sets of the classes that may be linked;
+    """sets: n, f1, f2 of each document, with a mark of its text where ids repeat; classes: f1, f2, rep, node; small: the sets of the classes that may be linked;
     label: node, component of those that are; many: whether a doc_id is on several rows."""
 
     sets: DataFrame
@@ -294,47 +324,43 @@ def _linked(docs: DataFrame, width: int) -> _Linked:
 
     The global order puts rare shingles first, by a count-min sketch over all documents. Linked sets
     share a shingle of their prefixes (the part that may be missing, plus one); shingles that the
-    sketch proves to be in one document only are never sent. For each shingle, a hub is tried
-    against the others by a prefix tree of their sets; links join components; shingles whose
-    documents are in one component are finished. After two rounds of hubs, what is still apart is
-    tried in full, by prefix trees of all documents that such shingles connect. So no two components that a link would join stay apart, and a
-    large group of copies costs its size and not its square. Links inside a component that is joined
+    sketch proves to be in one document only are never sent, and of shingles that the same documents
+    have in their prefixes only one is. For each shingle a hub is tried against all others by a
+    prefix tree of their sets; links join components. What a hub has met it is done with; of what
+    is left, shingles whose documents are in different components are tried in full, by prefix
+    trees of the hub's family. So no two components that a link would join stay apart, and a large
+    group of copies costs its size and not its square. Links inside a component that is joined
     already aren't looked for here: linked_pairs() has all of them.
     """
     many = repeats_ids(docs)
     mark = F.xxhash64("text") if many else F.lit(0).cast("long")
-    own = spread(docs.select("doc_id", mark.alias("mark"), "text").where("doc_id is not null"))
-    bits = cell_bits(own, "text")
-    sketch = repeated(own.select("text"), partial(_hashes, width=width), bits, HOT)
-    sets = keep(own.mapInPandas(partial(_sets, width=width, sketch=sketch), "doc_id long, mark long, n long, f1 long, f2 long, t array<long>, pos array<int>, keys binary"), "sets")
-    sketch.destroy()
-    classes = keep(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    if many:
-        # two classes may have the same smallest id: a class is then named by a hash of its set
-        classes = classes.select("f1", "f2", "rep", F.xxhash64("f1", "f2").alias("node"))
-    else:
-        classes = classes.select("f1", "f2", "rep", F.col("rep").alias("node"))
-    shared = sets.where("keys is not null")
-    one_each = shared.join(classes, ["f1", "f2"]).where("doc_id = rep")
+    own = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), "text").where("doc_id is not null"))
+    chunks = chunked(own, lower=True)
+    found = answered(chunks, partial(_shingles, width=width), _sets, "doc_id long, mark long, n long, f1 long, f2 long, t array<long>, pos array<int>, keys binary", HOT)
+    full = keep(found, "sets")
+    drop(chunks), drop(found._read)
+    # two classes may have the same smallest id where ids repeat: a class is then named by a hash of its set
+    node = F.xxhash64("f1", "f2") if many else F.col("rep")
+    classes = keep(full.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")).withColumn("node", node), "classes")
+    one_each = full.where("keys is not null").join(classes, ["f1", "f2"]).where("doc_id = rep")
     if many:
         one_each = one_each.dropDuplicates(["f1", "f2"])
-    small = keep(one_each.select("node", "n", "keys", "t", "pos"), "small")
+    small = keep(one_each.select("node", F.col("n").cast("int").alias("n"), "keys", "t", "pos"), "small")
+    sets = keep(full.select("doc_id", "mark", "n", "f1", "f2"), "lengths")
+    drop(full)
     by_node = small.select("node", "keys")
-    posted = small.select("node", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("t", "pos")).alias("x")).select(F.col("x.t").alias("t"), "node", "n", F.col("x.pos").alias("pos"))
-    posted = posted.withColumn("c", F.col("node"))
-    links = None
-    for best in (F.min, F.max):
-        hub = best(F.struct("node", "n", "pos", "c")).alias("h")
-        groups = posted.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).where("lo < hi")
-        groups = groups.select("t", F.col("h.node").alias("hub"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos"), F.col("h.c").alias("hc"))
-        still = keep(posted.join(groups, "t"), "postings")
-        pairs = still.where("c <> hc").where(_POSSIBLE).select("hub", "node", "n").distinct()
-        found = keep(_verified(pairs, by_node), "links")
-        links = found if links is None else keep(links.unionByName(found), "links")
-        label = keep(connected_components(links), "labels")
-        posted = still.select("t", "node", "n", "pos").join(label, "node", "left").select("t", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
-    links = keep(links.unionByName(_joined(posted, by_node)), "links")
-    return _Linked(sets, classes, small, connected_components(links), many)
+    posted = small.select("node", "n", F.explode(F.arrays_zip("t", "pos")).alias("x")).select(F.col("x.t").alias("t"), "node", "n", F.col("x.pos").alias("pos"))
+    lists = posted.groupBy("t").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x2"), F.min(F.struct("node", "n", "pos")).alias("h")).where("k > 1")
+    one = lists.groupBy("k", "x1", "x2").agg(F.min(F.struct("t", "h")).alias("one"))
+    one = one.select(F.col("one.t").alias("t"), F.col("one.h.node").alias("hub"), F.col("one.h.n").alias("hn"), F.col("one.h.pos").alias("hpos"))
+    met = keep(posted.join(one, "t").where("node <> hub"), "met")
+    links = _verified(met.where(_POSSIBLE).select("hub", "node", "n").distinct(), by_node)
+    label = connected_components(links)
+    more = _joined(met, label, by_node)
+    final = connected_components(links.unionByName(more))
+    for table in (met, links, label, more):
+        drop(table)
+    return _Linked(sets, classes, small, final, many)
 
 
 def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -357,7 +383,7 @@ def linked_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     drop(small)
     out = sets.where("n > 0").join(named, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
     none = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    unnamed = docs.where("doc_id is null").select("doc_id", "text").mapInPandas(partial(_counted, width=width), "doc_id long, n_shingles long, class_id long, component_id long")
+    unnamed = docs.where("doc_id is null").select("text").mapInPandas(partial(_counted, width=width), "doc_id long, n_shingles long, class_id long, component_id long")
     return out.unionByName(none).unionByName(unnamed)
 
 
@@ -382,9 +408,11 @@ def linked_pairs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _counted(batches: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    known, rolls = WordHashes(), {}
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pd.array([None] * len(pdf), "Int64"), "n_shingles": [len(shingles(x, known, rolls, width)) for x in pdf["text"]], "class_id": pd.array([None] * len(pdf), "Int64"), "component_id": pd.array([None] * len(pdf), "Int64")})
+        words = [[w.lower() for w in split(x)] for x in pdf["text"]]
+        n = [len({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}) if w else 0 for w in words]
+        none = pd.array([None] * len(pdf), "Int64")
+        yield pd.DataFrame({"doc_id": none, "n_shingles": n, "class_id": none, "component_id": none})
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -392,16 +420,17 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Rows without a doc_id stay; of repeated rows with one doc_id and text one stays. Different texts
     under one doc_id are judged one by one; if they are linked, the one with the smaller hash stays."""
-    if not repeats_ids(docs):
-        later = linked_components(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-        return docs.join(later, F.col("doc_id") == F.col("__id"), "left_anti")
-    sets, classes, _, label, _ = _linked(docs, width)
+    key, own = unused("id", docs.columns), unused("mark", docs.columns)
+    sets, classes, small, label, many = _linked(docs, width)
+    drop(small)
     label = label.select(F.col("node").alias("__node"), "component")
     named = classes.join(label, F.col("node") == F.col("__node"), "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
-    rows = sets.where("n > 0").join(named, ["f1", "f2"]).select("component", F.struct("doc_id", "mark").alias("row")).distinct()
+    rows = sets.where("n > 0").join(named, ["f1", "f2"]).select("component", F.struct("doc_id", "mark").alias("row"))
     first = rows.groupBy("component").agg(F.min("row").alias("first"))
-    later = rows.join(first, "component").where("row <> first").select(F.col("row.doc_id").alias("__id"), F.col("row.mark").alias("__mark"))
-    left = docs.where("doc_id is not null").join(later, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__mark")), "left_anti")
+    later = rows.join(first, "component").where("row <> first").select(F.col("row.doc_id").alias(key), F.col("row.mark").alias(own)).distinct()
+    if not many:
+        return docs.join(later, F.col("doc_id") == F.col(key), "left_anti")
+    left = docs.where("doc_id is not null").join(later, (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(own)), "left_anti")
     return left.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
 

@@ -32,14 +32,18 @@ def folder(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """An action inside deletes its shuffle files when it ends: its result lies elsewhere by then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+    """An action inside deletes its shuffle files when it ends, as its result lies elsewhere by then, and
+    sends Python few rows at once, as they may hold whole sets or texts. Both are settings of the
+    session: one thread at a time."""
+    inside = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {k: spark.conf.get(k, None) for k in inside}
     try:
+        for k, v in inside.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, was)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""A count-min sketch of hashes that partitions fill and that is merged block by block."""
+"""A count-min sketch that lies in blocks over all tasks: chunks send cells, blocks count and answer."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -10,148 +11,131 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import tidy
+from .chunks import Chunk, grouped, opened
+from .scratch import keep
 from .words import mixed
 
-#: Cells of one block; a merging task holds the counters of one block at a time.
+#: Cells of one block; a counting task holds the counters of one block at a time.
 BLOCK_BITS = 22
-#: Hot marks are shared by 2**FOLD neighbouring cells.
-FOLD = 5
-FLUSH = 3_000_000
-_ROWS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93))
-
-
-def cell_bits(docs: DataFrame, column: str, least: int = 18, most: int = 31) -> int:
-    """Bits of a cell number: about four cells for each word of ``column``, by its bytes.
-
-    Beyond 2**most cells the sketch stays as it is (256 MB a row): it then lets more once-only
-    windows through to the exact pass, and still loses none.
-    """
-    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(least, min(most, int(size / 6 * 3).bit_length()))
-
-
-def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mixed(hashes ^ _ROWS[row]) if row else hashes) >> np.uint64(64 - bits)
-
-
-class Repeated:
-    """The merged sketch: a bit for every cell that counted two or more, in both rows."""
-
-    def __init__(self, bits: int, blocks: list[tuple[int, int, bytes, bytes]]):
-        self.bits, self.blocks = bits, blocks
-        self.rows: list[np.ndarray] | None = None
-
-    def _open(self) -> None:
-        """Blocks travel compressed and are laid out where they are used, once in each process."""
-        size = 1 << min(self.bits, BLOCK_BITS)
-        self.rows = [np.zeros((1 << self.bits) // 8, np.uint8) for _ in range(2)]
-        self.hot_bits = np.zeros(((1 << self.bits) >> FOLD) // 8, np.uint8)
-        unpack = zstandard.ZstdDecompressor()
-        while self.blocks:
-            row, block, repeated, hot = self.blocks.pop()
-            self.rows[row][block * size // 8 : (block + 1) * size // 8] = np.frombuffer(unpack.decompress(repeated), np.uint8)
-            if row == 0:
-                self.hot_bits[(block * size >> FOLD) // 8 : ((block + 1) * size >> FOLD) // 8] = np.frombuffer(unpack.decompress(hot), np.uint8)
-
-    @staticmethod
-    def _test(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return (marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        """True where a hash was estimated to be counted twice or more."""
-        if self.rows is None:
-            self._open()
-        out = self._test(self.rows[0], cells(hashes, 0, self.bits))
-        at = np.flatnonzero(out)
-        out[at] = self._test(self.rows[1], cells(hashes[at], 1, self.bits))
-        return out
-
-    def hot(self, hashes: np.ndarray) -> np.ndarray:
-        """True where the first row's estimate reached the hot level; never false for a hash that did."""
-        if self.rows is None:
-            self._open()
-        return self._test(self.hot_bits, cells(hashes, 0, self.bits) >> np.uint64(FOLD))
-
-
-def _emit(hashes: np.ndarray, bits: int, most: int) -> Iterator[tuple[int, int, bytes]]:
+ROWS = 2
+_ROW_1 = np.uint64(0xD6E8FEB86659FD93)
+_SENT = "row int, block long, chunk long, cells binary"
+_REPLY = "row int, block long, chunk long, repeated binary, hot binary"
+#: What makes of a chunk the hashes that are counted, and each one's document.
+Hashes = Callable[[Chunk], tuple[np.ndarray, np.ndarray]]
+
+
+def cell_bits(chunks: DataFrame, least: int = 18) -> int:
+    """Bits of a cell number: about four cells for each word. They lie in blocks, so nothing limits them."""
+    n = chunks.agg(F.sum("n")).first()[0] or 0
+    return max(least, int(4 * n).bit_length())
+
+
+class Cells:
+    """The cells of a chunk's hashes, each hash once for a document, in both rows of the sketch."""
+
+    def __init__(self, hashes: np.ndarray, doc: np.ndarray, bits: int):
+        kind = np.int32 if len(hashes) < 1 << 31 else np.int64
+        self.order = np.argsort(hashes, kind="stable").astype(kind)  # places stay in order, so documents do
+        h, d = hashes[self.order], doc[self.order]
+        new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])) if len(h) else np.zeros(0, bool)
+        self.entry = np.cumsum(new, dtype=kind) - kind(1)  # of each hash in order, its place among the distinct ones
+        self.hashes, self.docs = h[new], d[new]
+        del h, d
+        self.rows = []  # distinct cells in order, their counts, and the place of each entry's cell
+        shift = np.uint64(64 - bits)
+        for row in range(ROWS):
+            cell = (mixed(self.hashes ^ _ROW_1) if row else self.hashes) >> shift
+            by = np.argsort(cell, kind="stable") if row else slice(None)
+            cell = cell[by]
+            first = np.append(True, cell[1:] != cell[:-1]) if len(cell) else np.zeros(0, bool)
+            at = np.empty(len(cell), kind)
+            at[by] = np.cumsum(first, dtype=kind) - kind(1)
+            starts = np.flatnonzero(first)
+            self.rows.append((cell[starts], np.diff(starts, append=len(cell)).astype(np.uint32), at))
+
+    def flags(self, replies: list) -> tuple[np.ndarray, np.ndarray]:
+        """For each distinct (hash, document): whether it was estimated to be in two documents or more,
+        and whether the first row's estimate reached the hot level."""
+        unpack, parts = zstandard.ZstdDecompressor(), [[] for _ in range(ROWS)]
+        hot = []
+        for r in sorted(replies, key=lambda r: (r.row, r.block)):
+            parts[int(r.row)].append(unpack.decompress(r.repeated))  # beside nulls pandas has floats
+            if r.row == 0:
+                hot.append(unpack.decompress(r.hot))
+        out = np.ones(len(self.hashes), bool)
+        for (_, _, at), data in zip(self.rows, parts, strict=True):
+            out &= np.frombuffer(b"".join(data), bool)[at]
+        return out, np.frombuffer(b"".join(hot), bool)[self.rows[0][2]]
+
+
+def _kind(x: np.ndarray):
+    most = int(x.max(initial=0))
+    return np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32
+
+
+def _send(batches: Iterable[pd.DataFrame], hashes: Hashes, bits: int) -> Iterator[pd.DataFrame]:
+    low = min(bits, BLOCK_BITS)
     pack = zstandard.ZstdCompressor(level=1)
-    for row in range(2):
-        at = np.sort(cells(hashes, row, bits))
-        if len(at) > most:  # more than the hot level from one chunk tells no more
-            at = at[np.concatenate([np.ones(most, bool), at[most:] != at[:-most]])]
-        if not len(at):
-            continue
-        low = min(bits, BLOCK_BITS)
-        block = at >> np.uint64(low)
-        ends = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(at))
-        start = 0
-        for end in ends:
-            steps = np.diff(at[start:end] & np.uint64((1 << low) - 1), prepend=np.uint64(0))
-            kind = np.uint16 if steps.max(initial=0) < 65536 else np.uint32
-            yield row, int(block[start]), bytes([np.dtype(kind).itemsize]) + pack.compress(steps.astype(kind).tobytes())
-            start = end
-
-
-def fill(arrays: Callable[[Iterable[pd.DataFrame]], Iterator[np.ndarray]], bits: int, hot: int):
-    """For mapInPandas: the hashes that ``arrays`` makes of the batches, as sorted cell numbers by block."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-
-        def flush():
-            out = list(_emit(np.concatenate(held), bits, hot)) if held else []
-            return pd.DataFrame(out, columns=["row", "block", "cells"])
-
-        for x in arrays(batches):
-            held.append(x)
-            n += len(x)
-            if n >= FLUSH:
-                yield flush()
-                held, n = [], 0
-        yield flush()
-
-    return run
-
-
-def _merge(bits: int, hot: int):
+    for pdf in batches:
+        for r in pdf.itertuples():
+            found, out = Cells(*hashes(opened(r)), bits), []
+            for row, (cell, count, _) in enumerate(found.rows):
+                block = cell >> np.uint64(low)
+                edges = np.flatnonzero(block[1:] != block[:-1]) + 1
+                for a, b in zip([0, *edges], [*edges, len(cell)]) if len(cell) else []:
+                    steps = np.diff(cell[a:b] & np.uint64((1 << low) - 1), prepend=np.uint64(0))
+                    kinds = _kind(steps), _kind(count[a:b])
+                    data = bytes([np.dtype(k).itemsize for k in kinds]) + pack.compress(steps.astype(kinds[0]).tobytes() + count[a:b].astype(kinds[1]).tobytes())
+                    out.append((row, int(block[a]), r.chunk, data))
+            yield pd.DataFrame(out, columns=["row", "block", "chunk", "cells"])
+
+
+def _count(batches: Iterable[pd.DataFrame], bits: int, hot: int) -> Iterator[pd.DataFrame]:
+    """All counts of a block, then an answer to each chunk that sent to it."""
     low = min(bits, BLOCK_BITS)
-
-    def close(row: int, block: int, counts: np.ndarray) -> pd.DataFrame:
-        folded = (counts >= hot).reshape(-1, 1 << FOLD).any(axis=1) if row == 0 else np.zeros(8, bool)
-        pack = zstandard.ZstdCompressor(level=1)
-        return pd.DataFrame([(row, block, pack.compress(np.packbits(counts > 1, bitorder="little").tobytes()), pack.compress(np.packbits(folded, bitorder="little").tobytes()))], columns=["row", "block", "repeated", "hot"])
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, counts = None, None
-        unpack = zstandard.ZstdDecompressor()
-        for pdf in batches:
-            for row, block, blob in zip(pdf["row"], pdf["block"], pdf["cells"], strict=True):
-                if (row, block) != at:
-                    if at:
-                        yield close(*at, counts)
-                    at, counts = (row, block), np.zeros(1 << low, np.uint32)
-                steps = np.frombuffer(unpack.decompress(blob[1:]), {2: np.uint16, 4: np.uint32}[blob[0]])
-                pos = np.cumsum(steps, dtype=np.int64)
-                first = np.flatnonzero(np.append(True, pos[1:] != pos[:-1]))
-                counts[pos[first]] += np.diff(first, append=len(pos)).astype(np.uint32)
-        if at:
-            yield close(*at, counts)
-
-    return run
-
-
-def repeated(table: DataFrame, arrays, bits: int, hot: int):
-    """A broadcast Repeated of the hashes that ``arrays`` makes of ``table``.
-
-    Each task counts its own rows and sends the cell numbers it met, sorted and as differences, by
-    block of cells; one streaming merge per block adds them up. What reaches the driver is two
-    bits a cell at most, whose number cell_bits() bounds; the hot level costs 1/32 of a bit.
+    pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+
+    def cells(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        raw, (a, b) = unpack.decompress(data[2:]), data[:2]
+        n = len(raw) // (a + b)
+        return np.cumsum(np.frombuffer(raw, kinds[a], n), dtype=np.int64), np.frombuffer(raw, kinds[b], n, n * a)
+
+    for _, rows in grouped((pdf.assign(key=list(zip(pdf["row"], pdf["block"], strict=True))) for pdf in batches), "key"):
+        counts = np.zeros(1 << low, np.uint32)
+        for r in rows:
+            at, n = cells(r.cells)
+            counts[at] = np.minimum(counts[at].astype(np.uint64) + n, 0xFFFFFFFF)
+        out = []
+        for r in rows:
+            here = counts[cells(r.cells)[0]]
+            out.append((r.row, r.block, r.chunk, pack.compress((here > 1).tobytes()), pack.compress((here >= hot).tobytes()) if r.row == 0 else None))
+        yield pd.DataFrame(out, columns=["row", "block", "chunk", "repeated", "hot"])
+
+
+def answered(chunks: DataFrame, hashes: Hashes, run: Callable, schema: str, hot: int = 1 << 30) -> DataFrame:
+    """``run(row, Cells, replies)`` of every chunk, which gives a table of ``schema``.
+
+    Each chunk's sketch goes, as the cells that it met with their counts, to the blocks that the
+    cells lie in. A block adds up what all chunks sent and answers each: which of its cells have
+    counted two or more, and which reached the hot level. The chunk then knows of each of its
+    hashes what the merged sketch estimates. No task ever holds more than a block or a chunk, and
+    nothing goes through the driver.
     """
-    spark = table.sparkSession
-    chunks = table.mapInPandas(fill(arrays, bits, hot), "row int, block int, cells binary")
-    n = max(1, (2 << max(0, bits - BLOCK_BITS)) // 4)
-    merged = chunks.repartition(n, "row", "block").sortWithinPartitions("row", "block").mapInPandas(_merge(bits, hot), "row int, block int, repeated binary, hot binary")
-    with tidy(spark):
-        blocks = [(r.row, r.block, bytes(r.repeated), bytes(r.hot)) for r in merged.collect()]
-    return spark.sparkContext.broadcast(Repeated(bits, blocks))
+    bits, spark = cell_bits(chunks), chunks.sparkSession
+    sent = chunks.mapInPandas(partial(_send, hashes=hashes, bits=bits), _SENT)
+    blocks = max(1, (ROWS << max(0, bits - BLOCK_BITS)) // 4)
+    replies = keep(sent.repartition(blocks, "row", "block").sortWithinPartitions("row", "block").mapInPandas(partial(_count, bits=bits, hot=hot), _REPLY), "replies")
+    own = chunks.withColumn("kind", F.lit(0)).unionByName(replies.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    tasks = max(chunks.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    met = own.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind")
+    out = met.mapInPandas(partial(_meet, hashes=hashes, bits=bits, run=run), schema)
+    out._read = replies
+    return out
+
+
+def _meet(batches: Iterable[pd.DataFrame], hashes: Hashes, bits: int, run: Callable) -> Iterator[pd.DataFrame]:
+    for _, rows in grouped(batches, "chunk"):
+        chunk = opened(rows[0])
+        yield from run(chunk, Cells(*hashes(chunk), bits), rows[1:])

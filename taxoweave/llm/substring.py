@@ -14,21 +14,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .inputs import row_mark, spread
-from .sketch import cell_bits, repeated
-from .words import BASE_2, Rolling, WordHashes, split
+from .chunks import Chunk, chunked, windows
+from .inputs import row_mark, spread, unused
+from .scratch import drop, keep
+from .sketch import Cells, answered
+from .words import BASE_2, Rolling, split
 
 WINDOW = 50
-#: Candidate windows that a task compares among its own documents before it sends them on.
-TOGETHER = 1_500_000
 
 
-def _window_hashes(batches: Iterable[pd.DataFrame], width: int) -> Iterator[np.ndarray]:
-    known, roll = WordHashes(), Rolling(width)
-    for pdf in batches:
-        for text in pdf["text"]:
-            # a document counts each of its windows once: repeats inside one document remove nothing
-            yield np.unique(roll.of(known.of(split(text))))
+def _window_hashes(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
+    at, doc = windows(chunk, width)
+    return (Rolling(width).of(chunk.one)[at] if len(at) else np.zeros(0, np.uint64)), doc
 
 
 def _runs(starts: np.ndarray) -> np.ndarray:
@@ -62,45 +59,39 @@ def _own_repeats(k, more, doc_id, mark) -> pd.DataFrame:
     return pd.concat([rows, done], ignore_index=True) if len(done) else rows
 
 
-def _candidates(batches: Iterable[pd.DataFrame], width: int, sketch) -> Iterator[pd.DataFrame]:
-    known, roll, roll_2, marks = WordHashes(), Rolling(width), Rolling(width, BASE_2), sketch.value
-    parts, n = [], 0
-    for pdf in batches:
-        for doc_id, mark, text in zip(pdf["doc_id"], pdf["mark"], pdf["text"], strict=True):
-            hashes = known.of(split(text))
-            one = roll.of(hashes)
-            at = np.flatnonzero(marks(one))
-            if not len(at):
-                continue
-            two = roll_2.of(hashes * np.uint64(0xFF51AFD7ED558CCD) ^ hashes >> np.uint64(29))[at]
-            # 64 bits of one hash and 32 of another name the window; the low 32 say where it starts
-            more = (two & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-            parts.append((one[at], more, np.full(len(at), doc_id, np.int64), np.full(len(at), mark, np.int64)))
-            n += len(at)
-            if n >= TOGETHER:
-                yield _own_repeats(*map(np.concatenate, zip(*parts, strict=True)))
-                parts, n = [], 0
-    if parts:
-        yield _own_repeats(*map(np.concatenate, zip(*parts, strict=True)))
+def _candidates(chunk: Chunk, cells: Cells, replies: list, width: int) -> Iterator[pd.DataFrame]:
+    repeated, _ = cells.flags(replies)
+    at, doc = windows(chunk, width)
+    here = np.zeros(len(at), bool)
+    here[cells.order] = repeated[cells.entry]  # a window that is twice in a document is judged at both places
+    pick = np.flatnonzero(here)
+    if len(pick):
+        at, doc = at[pick], doc[pick]
+        one, two = Rolling(width).of(chunk.one)[at], Rolling(width, BASE_2).of(chunk.two)[at]
+        # 64 bits of one hash and 32 of another name the window; the low 32 say where it starts
+        more = (two & np.uint64(0xFFFFFFFF00000000)) | (at - chunk.starts[doc]).astype(np.uint64)
+        yield _own_repeats(one, more, chunk.ids[doc], chunk.marks[doc])
 
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(doc_id, mark, runs): from where to where windows begin that some document with a smaller id has too.
+    """A kept table (doc_id, mark, runs): from where to where windows begin that some document with a smaller id has too.
 
-    Every task counts its windows in a count-min sketch; the sketches are merged and sent back. A
-    second pass keeps only windows whose estimate is two or more. As estimates are never too low,
-    all truly repeated windows are among them. What a task's own documents settle is settled there;
-    the rest are grouped by 96 bits of two independent hashes of the word sequence, which finds the
-    smallest doc_id that has each.
+    Texts become chunks of word numbers with two independent hashes of each word. A chunk's windows
+    go into a count-min sketch, whose merged blocks answer which of them they estimate two or more
+    of. As estimates are never too low, all truly repeated windows are among those. What a chunk's
+    own documents settle is settled there; the rest are grouped by 96 bits of two hashes of the word
+    sequence, which finds the smallest doc_id that has each.
     """
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "mark", "text")
-    sketch = repeated(texts.select("text"), partial(_window_hashes, width=width), cell_bits(texts, "text"), 1 << 30)
-    found = texts.mapInPandas(partial(_candidates, width=width, sketch=sketch), "k long, more long, doc_id long, mark long, runs array<int>")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "mark", "text")
+    chunks = chunked(texts, lower=False, twice=True)
+    found = answered(chunks, partial(_window_hashes, width=width), partial(_candidates, width=width), "k long, more long, doc_id long, mark long, runs array<int>")
     same = Window.partitionBy("k", F.shiftright("more", 32))
     first = F.min(F.when(F.col("runs").isNull(), F.col("doc_id"))).over(same)
     hit = found.withColumn("first", first).where("runs is not null or first < doc_id")
     start = F.col("more").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    return hit.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(F.coalesce("runs", F.array(start, start)))).alias("runs"))
+    runs = keep(hit.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(F.coalesce("runs", F.array(start, start)))).alias("runs")), "runs")
+    drop(chunks), drop(found._read)
+    return runs
 
 
 def kept(words: list[bytes], runs, width: int) -> list[bytes]:
@@ -113,19 +104,21 @@ def kept(words: list[bytes], runs, width: int) -> list[bytes]:
 
 
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed more tightly than a shuffle would; all other columns as they are."""
+    """Texts, the last column, compressed more tightly than a shuffle would; all other columns as they are."""
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        packed = [None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch["__text"].to_pylist()]
-        at = batch.schema.get_field_index("__text")
-        yield batch.set_column(at, "__text", pa.array(packed, pa.binary()))
+        at = batch.num_columns - 1
+        packed = [None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch[at].to_pylist()]
+        yield batch.set_column(at, batch.schema.names[at], pa.array(packed, pa.binary()))
 
 
-def _apply(batches: Iterable[pa.RecordBatch], width: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterable[pa.RecordBatch], width: int, with_text: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The last two columns, compressed text and runs, become n_words, n_removed, kept_sha256 (and kept_text)."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         n_words, n_removed, digests, texts = [], [], [], []
-        for packed, runs in zip(batch["__text"].to_pylist(), batch["__runs"].to_pylist(), strict=True):
+        own = batch.num_columns - 2
+        for packed, runs in zip(batch[own].to_pylist(), batch[own + 1].to_pylist(), strict=True):
             text = None if packed is None else unpack.decompress(packed).decode("utf-8", "surrogatepass")
             words = split(text)
             left = kept(words, runs, width)
@@ -133,11 +126,8 @@ def _apply(batches: Iterable[pa.RecordBatch], width: int, with_text: bool) -> It
             n_words.append(len(words)), n_removed.append(len(words) - len(left)), digests.append(hashlib.sha256(joined).hexdigest())
             if with_text:
                 texts.append(joined.decode("utf-8", "surrogatepass") if len(left) < len(words) else text)
-        columns = [(n, batch[n]) for n in batch.schema.names if n not in ("__text", "__runs")]
-        columns += [("n_words", pa.array(n_words, pa.int64())), ("n_removed", pa.array(n_removed, pa.int64())), ("kept_sha256", pa.array(digests, pa.string()))]
-        if with_text:
-            columns.append(("kept_text", pa.array(texts, pa.string())))
-        yield pa.RecordBatch.from_arrays([c for _, c in columns], names=[n for n, _ in columns])
+        made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())] + [pa.array(texts, pa.string())] * with_text
+        yield pa.RecordBatch.from_arrays([batch[i] for i in range(own)] + made, names=names)
 
 
 def dedup_substrings(docs: DataFrame, width: int = WINDOW, text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -148,16 +138,40 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, text: bool = True, ca
     where nothing is removed, else the kept words joined by one space. Null and empty texts and
     texts under ``width`` words lose nothing (a null text has no words and stays null). Rows
     without a doc_id are neither compared nor changed. Rows that share a doc_id don't count as
-    earlier than each other. Every word of a text counts, however long it is.
+    earlier than each other. No rows: none. Every word of a text counts, however long it is (a
+    text is held whole by one task). A carried column whose name is one of the result's own comes
+    out with an underscore before it.
     """
-    own = spread(docs.select("doc_id", "text", *carry)).withColumn("mark", row_mark(docs))
-    runs = repeated_windows(own.select("doc_id", "mark", "text"), width).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("runs").alias("__runs"))
-    rows = own.select("doc_id", *carry, F.col("mark").alias("__own"), F.col("text").alias("__text"))
-    schema = T.StructType([f if f.name != "__text" else T.StructField("__text", T.BinaryType()) for f in rows.schema])
-    joined = rows.mapInArrow(_packed, schema).join(runs, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__mark")), "left").select("doc_id", *carry, "__text", "__runs")
+    made = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * text
+    renamed = {c: unused(c, [*docs.columns, *made]) if c.lower() in made else c for c in carry}
+    docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in renamed.items()])
+    carry = tuple(renamed.values())
+    mark, hidden_text, hidden_runs, key, own_mark = (unused(n, docs.columns) for n in ("mark", "text_", "runs", "key", "own_mark"))
+    rows = spread(docs.select("doc_id", "text", *carry)).withColumn(mark, row_mark(docs))
+    runs = repeated_windows(rows.select("doc_id", F.col(mark).alias("mark"), "text"), width)
+    runs = runs.select(F.col("doc_id").alias(key), F.col("mark").alias(own_mark), F.col("runs").alias(hidden_runs))
+    rows = rows.select("doc_id", *carry, mark, F.col("text").alias(hidden_text))
+    schema = T.StructType(rows.schema.fields[:-1] + [T.StructField(hidden_text, T.BinaryType())])
+    met = rows.mapInArrow(_packed, schema).join(runs, (F.col("doc_id") == F.col(key)) & (F.col(mark) == F.col(own_mark)), "left")
+    met = met.select("doc_id", *carry, hidden_text, hidden_runs)
     made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    made += [T.StructField("kept_text", T.StringType())] * text
-    return joined.mapInArrow(partial(_apply, width=width, with_text=text), T.StructType([f for f in joined.schema if f.name not in ("__text", "__runs")] + made))
+    out = T.StructType(met.schema.fields[:-2] + made + [T.StructField("kept_text", T.StringType())] * text)
+    return met.mapInArrow(partial(_apply, width=width, with_text=text, names=out.names), out)
+
+
+def deduped_rows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """docs with texts without repeated windows; n_chars, if there is one, is that of the new text.
+
+    Documents of which no word is left are gone. All other columns pass unchanged, whatever their names.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = unused("row", ["doc_id", "text"])
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias(held) if others else F.lit(None).cast("int").alias(held))
+    left = dedup_substrings(packed, width, carry=(held,)).where("n_removed = 0 or n_removed < n_words")
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    if "n_chars" in others:
+        new["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return left.select(*[new[c].alias(c) if c in new else F.col(held).getField(c).alias(c) for c in docs.columns])
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
