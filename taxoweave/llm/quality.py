@@ -147,7 +147,9 @@ def fit(examples: Sequence[tuple[int, np.ndarray, np.ndarray]], epochs: int = EP
             g = p / p.sum()
             g[label] -= 1
             back = softmax.T @ g
-            softmax -= now * np.outer(g, x)
+            # both steps are clipped at length one: equal texts with different labels would drive them up without end
+            back /= max(1, np.sqrt(back @ back))
+            softmax -= now * np.outer(g, x) / max(1, np.sqrt(x @ x))
             bias -= now * 0.1 * g
             if len(bucket):
                 # a feature's share of the average is small: its step is scaled by the features' number
