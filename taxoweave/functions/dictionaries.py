@@ -121,3 +121,6 @@ PART_SYNONYMS = {
     "red": ["promo", "large"],
 }
 PART_HINTS = {"large": ["anvil", "plate"], "small": ["ring", "rod"], "red": ["hot"]}
+
+# Words that say nothing about a category of goods.
+GOODS_STOP = ("все", "товары")

@@ -53,6 +53,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
+def set_jaccard(a: Column, b: Column) -> Column:
+    """jaccard() of arrays without repeats: the union's size follows from what both share."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(shared, F.size(a) + F.size(b) - shared), F.lit(0.0))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """What both sets share over the larger one's size."""
     most = F.greatest(F.size(a), F.size(b))

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dictionaries import ADVANCED_STOP, KEYWORD_STOP, MEANINGFUL_STOP, SUFFIXES, TRANSLIT_FROM, TRANSLIT_TO
+from .dictionaries import ADVANCED_STOP, GOODS_STOP, KEYWORD_STOP, MEANINGFUL_STOP, SUFFIXES, TRANSLIT_FROM, TRANSLIT_TO
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -45,6 +45,12 @@ def meaningful_words(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
 
 
+def batch_words(text: Column) -> Column:
+    """Distinct meaningful words without those that any category of goods has."""
+    goods = words_literal(GOODS_STOP)
+    return F.array_distinct(F.filter(meaningful_words(normalize(text)), lambda w: ~F.array_contains(goods, w)))
+
+
 def stem(word: Column) -> Column:
     """Without the first suffix that leaves more than two letters."""
     out = word
@@ -55,9 +61,9 @@ def stem(word: Column) -> Column:
 
 
 def advanced_keywords(text: Column) -> Column:
-    """Distinct words over two letters without stop words, and the stems of those over four."""
-    own = keywords(text, ADVANCED_STOP)
-    return F.array_union(own, F.transform(F.filter(own, lambda w: F.length(w) > 4), stem))
+    """Distinct words over two letters without stop words, those over four each with its stem after it."""
+    with_stem = lambda w: F.when(F.length(w) > 4, F.array(w, stem(w))).otherwise(F.array(w))
+    return F.array_distinct(F.flatten(F.transform(keywords(text, ADVANCED_STOP), with_stem)))
 
 
 def char_ngrams(text: Column, low: int = 2, high: int = 3) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .routing import numbered
+
 
 def fresh(entries: DataFrame, now: Column, ttl_seconds: int, time: str = "created_at") -> DataFrame:
     return entries.where(F.col(time) >= now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
@@ -22,12 +24,39 @@ def evict(entries: DataFrame, most: int, used: str = "accessed_at", tie: str = "
 
 
 def evict_share(entries: DataFrame, share: int = 4, used: str = "accessed_at", tie: str = "entry", by: str | None = None) -> DataFrame:
-    """Without the oldest 1/share (rounded down) of the entries, of each group of ``by``."""
-    group = [by] if by else [F.lit(1)]
-    w, all_of = Window.partitionBy(*group).orderBy(used, tie), Window.partitionBy(*group)
+    """Without the oldest 1/share (rounded down) of all entries, or of each group of ``by``."""
+    if by is None:
+        size = entries.agg(F.floor(F.count("*") / share).alias("__gone"))  # one row
+        return numbered(entries, [used, tie], "__r").crossJoin(F.broadcast(size)).where("__r >= __gone").drop("__r", "__gone")
+    w, all_of = Window.partitionBy(by).orderBy(used, tie), Window.partitionBy(by)
     return entries.withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count("*").over(all_of)).where(F.col("__r") > F.floor(F.col("__n") / share)).drop("__r", "__n")
 
 
+def put(entries: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
+    """entries with the new ones in the place of those of the same key; the caller writes the result."""
+    return entries.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def delete(entries: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    return entries.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def clear(entries: DataFrame) -> DataFrame:
+    return entries.limit(0)
+
+
+def two_levels(requests: DataFrame, near: DataFrame, far: DataFrame, now: Column, ttl_seconds: int, most: int, key: str = "key") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits with their level, misses, the near level afterwards). A request is looked up in the near level and
+    then in the far one; what the far one has moves up, and the near level keeps its ``most`` last used entries."""
+    live_near, live_far = fresh(near, now, ttl_seconds), fresh(far, now, ttl_seconds)
+    first, rest = lookup(requests, live_near, key)
+    second, misses = lookup(rest, live_far, key)
+    moved = live_far.join(rest.select(key).distinct(), key, "left_semi").withColumn("accessed_at", now)
+    used = live_near.join(requests.select(key).distinct(), key, "left_semi").withColumn("accessed_at", now)
+    hits = first.withColumn("level", F.lit(1)).unionByName(second.withColumn("level", F.lit(2)))
+    return hits, misses, evict(put(live_near, used.unionByName(moved), key), most)
+
+
 def statistics(entries: DataFrame, now: Column, ttl_seconds: int, size: str = "size_bytes", time: str = "created_at") -> DataFrame:
     live = F.col(time) >= now - F.make_dt_interval(secs=F.lit(ttl_seconds))
     return entries.agg(F.count("*").alias("entries"), F.sum(size).alias("total_size"), F.count_if(live).alias("active"))

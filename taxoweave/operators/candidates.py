@@ -174,6 +174,34 @@ def auto_match(inputs: DataFrame, refs: DataFrame, table: Mapping[str, list[str]
     return hits.groupBy("input").agg(F.min_by(F.struct("ref", "score"), "ref_ord").alias("m")).select("input", "m.ref", "m.score")
 
 
+def relevant(batched: DataFrame, refs: DataFrame, most: int = 100, by: str = "batch_id") -> DataFrame:
+    """by, ref, ref_ord, shared, rank: the references that share most distinct words with all of a batch's
+    names together, ties in their order. batched: by, input; refs: ref, ref_ord."""
+    mine = batched.select(by, F.explode(text.batch_words(F.col("input"))).alias("t")).distinct()
+    theirs = refs.select("ref", "ref_ord", F.explode(text.batch_words(F.col("ref"))).alias("t"))
+    met = mine.join(theirs, "t").groupBy(by, "ref", "ref_ord").agg(F.count("*").alias("shared"))
+    return top(met, most, by, "shared")
+
+
+def filtered_then_vectors(found: DataFrame, vector_hits: DataFrame, limit: int = 10, fixed: float = 0.8) -> DataFrame:
+    """input, ref, match_type, score, rank: the first ``limit`` of a funnel at a fixed score; an input with
+    fewer is filled up by as many vector hits as are missing, without references that it has already.
+
+    found: input, ref, rank; vector_hits: input, ref, score, rank."""
+    first = found.where(F.col("rank") <= limit).select("input", "ref", F.lit("advanced_filter").alias("match_type"), F.lit(fixed).alias("score"), "rank")
+    many = first.groupBy("input").agg(F.count("*").alias("n"))
+    wanted = vector_hits.join(many, "input", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).where(F.col("rank") <= limit - F.col("n"))
+    new = wanted.join(first.select("input", "ref"), ["input", "ref"], "left_anti")
+    rows = first.unionByName(new.select("input", "ref", F.lit("vector_search").alias("match_type"), "score", (F.col("n") + F.col("rank")).alias("rank")))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("input").orderBy("rank")))
+
+
+def statistics(hits: DataFrame, inputs: DataFrame) -> DataFrame:
+    """One row: inputs, those with a candidate, candidates, and the mean and the most of an input."""
+    each = inputs.select("input").distinct().join(hits.groupBy("input").agg(F.count("*").alias("n")), "input", "left").select(F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return each.agg(F.count("*").alias("inputs"), F.count_if(F.col("n") > 0).alias("with_candidates"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("candidates"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"), F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("most"))
+
+
 def vector_backfill(hits: DataFrame, vector_hits: DataFrame, most: int = DEFAULT.candidates) -> DataFrame:
     """hits, and after them vector hits of references that aren't among them, up to ``most``."""
     rows = hits.select("input", "ref", "ref_ord", "score", F.lit(0).alias("source")).unionByName(vector_hits.select("input", "ref", "ref_ord", "score", F.lit(1).alias("source")))

@@ -49,6 +49,15 @@ def history(sessions: DataFrame, n: int = 10, order: str = "session") -> DataFra
     )
 
 
+def export(metrics: DataFrame, sessions: DataFrame, exported_at: str, n: int = 100, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """One row: the last n metrics in order of time, the last session, and the sums of the last ten."""
+    last = latest(metrics, n, order)
+    recent = last.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*metrics.columns).alias("m")))), lambda x: x["m"]).alias("recent_metrics"))  # n rows
+    current = sessions.orderBy(F.col("session").desc()).limit(1).select(F.struct("*").alias("current_session"))
+    past = history(sessions).select(F.struct("*").alias("historical_stats"))
+    return recent.join(current, how="left").crossJoin(past).withColumn("export_time", F.lit(exported_at))
+
+
 def benchmark(runs: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, least, greatest and sample deviation (0 for one run)."""
     return runs.groupBy(by).agg(F.count("*").alias("runs"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("deviation"))

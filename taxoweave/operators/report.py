@@ -108,6 +108,47 @@ def summary(doc: DataFrame) -> DataFrame:
     return doc.select(F.concat_ws("\n", *lines).alias("summary"))
 
 
+def unmatched_only(doc: DataFrame) -> DataFrame:
+    """Of a result document what is left over, for a closer look."""
+    return doc.select("processed_at", "total_unmatched", F.col("statistics.confidence_threshold").alias("confidence_threshold"), "unmatched")
+
+
+_INPUT_FIELDS = ("input_id", "input_name", "input_path", "input_full_path")
+_MATCH_FIELDS = (*_INPUT_FIELDS, "match_id", "match_name", "match_path", "match_full_path", "confidence", "reasoning")
+
+
+def result_rows(results: DataFrame) -> DataFrame:
+    """Results of hierarchical() as rows of a table, which no task has to hold together: all of them, with
+    matched saying on which side of the document each is. No threshold."""
+    return results.withColumn("matched", F.coalesce(has_match(F.col("match_id")), F.lit(False)))
+
+
+def hierarchical_document(results: DataFrame, calls: int, seconds: float, processed_at: str) -> DataFrame:
+    """The result document of hierarchical() as one row, in order of input ids. Its lists are the result itself,
+    so its size is the caller's; result_rows() has the same as a table."""
+    rows, order = result_rows(results), F.col("input_id")
+    entry = F.struct(*[F.col(c) for c in _MATCH_FIELDS], F.col("match_method").alias("method"))
+    left = F.struct(*[F.col(c) for c in (*_INPUT_FIELDS, "reasoning")])
+    listed = lambda c, e: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct(order.alias("o"), e.alias("e"))))), lambda x: x["e"])
+    by = {f"{k}_matches": F.count_if(F.col("match_method") == m) for k, m in (("exact", "exact"), ("ai", "ai"), ("no", "none"))}
+    one = rows.agg(F.count("*").alias("total_input"), F.count_if("matched").alias("total_matched"), F.count_if(~F.col("matched")).alias("total_unmatched"), listed(F.col("matched"), entry).alias("matches"), listed(~F.col("matched"), left).alias("unmatched"), *[c.alias(k) for k, c in by.items()])
+    statistics = F.struct(*by, F.lit(calls).cast("long").alias("api_requests"), F.format_string("%.2fs", F.lit(float(seconds))).alias("processing_time"))
+    return one.select(F.lit(processed_at).alias("processed_at"), "total_input", "total_matched", "total_unmatched", "matches", "unmatched", statistics.alias("statistics"))
+
+
+def hierarchical_summary(doc: DataFrame, batch_size: int = DEFAULT.batch_size) -> DataFrame:
+    """A few lines of text about a document of hierarchical(): counts by method with their share, the
+    share of matches, requests and what they saved. No inputs: 0 percent."""
+    n, s = F.col("total_input"), lambda c: F.col(f"statistics.{c}")
+    line = lambda name, c: F.format_string(f"{name}: %d (%.1f%%)", c, share(c, n))
+    lines = [
+        F.concat(F.lit("Hierarchical matching - "), "processed_at"), F.format_string("Inputs: %d", n), line("Exact", s("exact_matches")), line("By matcher", s("ai_matches")), line("Unmatched", s("no_matches")),
+        F.format_string("Match rate: %.1f%%", share(s("exact_matches") + s("ai_matches"), n)), F.format_string("Requests: %d", s("api_requests")),
+        F.format_string("Saved: %.1f%%", share(n - s("api_requests") * batch_size, n)), F.concat(F.lit("Time: "), s("processing_time")),
+    ]
+    return doc.select(F.concat_ws("\n", *lines).alias("summary"))
+
+
 def explain(reason: Column, score: Column, pairs: Column | None = None) -> Column:
     """A reason and its score in words; pairs of synonyms, if any, in brackets."""
     said = F.when(reason == "direct_match", "Direct match").when(reason == "synonym_match", "Match by synonyms").when(reason == "fuzzy_match", "Similar text").when(reason == "transliteration_match", "Match after transliteration").when(reason == "partial_match", "Some words alike").otherwise("Unknown reason")

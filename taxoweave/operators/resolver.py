@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity
@@ -29,7 +29,12 @@ def prompts(batched: DataFrame, refs: DataFrame, by: list[str], most: int = 100)
     inputs = batched.groupBy(*by).agg(lines.alias("l"), F.count("*").alias("n"))
     inputs = inputs.withColumn("inputs", F.array_join(F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["name"])), "\n")).drop("l")
     shared = [c for c in by if c in refs.columns]
-    first = refs.where(F.col("place") <= most) if "place" in refs.columns else refs
+    if "place" in refs.columns:
+        first = refs.where(F.col("place") <= most)
+    elif shared:  # cut before they are listed
+        first = refs.withColumn("__n", F.row_number().over(Window.partitionBy(*shared).orderBy("ord", "id", "name"))).where(F.col("__n") <= most)
+    else:
+        first = refs.orderBy("ord", "id", "name").limit(most)
     listed = first.groupBy(*shared).agg(F.array_sort(F.collect_list(F.struct("ord", "id", "name"))).alias("r"))
     listed = listed.select(*shared, F.array_join(F.transform(F.slice("r", 1, most), lambda x: F.concat(F.lit("ID: "), x["id"], F.lit(", Name: "), x["name"])), "\n").alias("refs"))
     rows = inputs.join(listed, shared, "left") if shared else inputs.crossJoin(listed)  # one row of references

@@ -12,13 +12,17 @@ from ..functions import similarity, text
 def path_matches(inputs: DataFrame, refs: DataFrame) -> DataFrame:
     """Per distinct (name, input path): n_refs, and the best reference by path similarity.
 
-    inputs: name, full_path; refs: id, name, full_path, ord. Leaves that have name and path in
-    common score alike, so each such class is compared once, however many leaves it has."""
-    a = inputs.select(F.lower("name").alias("k"), F.col("full_path").alias("input_path")).distinct()
-    b = refs.groupBy(F.lower("name").alias("k"), F.col("full_path").alias("ref_path")).agg(F.min_by(F.struct("ord", "id"), "ord").alias("r"), F.count("*").alias("n"))
-    pairs = a.join(b, "k").withColumn("score", similarity.jaccard(text.path_words(F.col("input_path")), text.path_words(F.col("ref_path"))))
+    inputs: name, full_path; refs: id, name, full_path, ord. Leaves that have the name and the words
+    of the path in common score alike, so each such class is compared once, however many leaves it
+    has; a path is taken apart once, before classes meet."""
+    words = lambda c: F.array_sort(text.path_words(F.col(c)))
+    a = inputs.select(F.lower("name").alias("k"), F.col("full_path").alias("input_path")).distinct().withColumn("mine", words("input_path"))
+    b = refs.groupBy(F.lower("name").alias("k"), F.col("full_path").alias("ref_path")).agg(F.min(F.struct("ord", "id")).alias("r"), F.count("*").alias("n"))
+    b = b.withColumn("theirs", words("ref_path")).groupBy("k", "theirs").agg(F.min("r").alias("r"), F.sum("n").alias("n"))
+    pairs = a.select("k", "mine").distinct().join(b, "k").withColumn("score", similarity.set_jaccard(F.col("mine"), F.col("theirs")))
     best = F.max_by(F.struct("r", "score"), F.struct("score", -F.col("r.ord")))
-    return pairs.groupBy("k", "input_path").agg(F.sum("n").alias("n_refs"), best.alias("b")).select("k", "input_path", "n_refs", F.col("b.r.id").alias("ref_id"), "b.score")
+    classes = pairs.groupBy("k", "mine").agg(F.sum("n").alias("n_refs"), best.alias("b"))
+    return a.join(classes, ["k", "mine"]).select("k", "input_path", "n_refs", F.col("b.r.id").alias("ref_id"), "b.score")
 
 
 def exact_router(inputs: DataFrame, refs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -56,16 +60,20 @@ def best_branch(inputs: DataFrame, refs: DataFrame, targets: DataFrame, settings
         leaves = leaves.withColumnRenamed("root", "root_id")
     w = Window.partitionBy("root_id").orderBy("ord")
     sample = leaves.withColumn("n", F.row_number().over(w)).where(F.col("n") <= settings.branch_sample).select("root_id", text.path_words(F.col("full_path")).alias("theirs"))
-    rows = targets.join(inputs.select("key", text.path_words(F.col("full_path")).alias("mine")), "key").join(sample, "root_id", "left")
-    each = rows.groupBy("key", "root_id").agg(F.avg(similarity.jaccard(F.col("mine"), F.col("theirs"))).alias("s"))
-    best = F.struct((-F.round(F.coalesce("s", F.lit(0.0)), 12)).alias("s"), "root_id")
-    return each.groupBy("key").agg(F.min(best).alias("b")).select("key", "b.root_id")
+    # the few samples of a root lie in one row, so that no pair is sent
+    samples = sample.groupBy("root_id").agg(F.collect_list("theirs").alias("samples"))
+    rows = targets.join(inputs.select("key", text.path_words(F.col("full_path")).alias("mine")), "key").join(samples, "root_id", "left")
+    total = F.aggregate("samples", F.lit(0.0), lambda n, x: n + similarity.set_jaccard(F.col("mine"), x))
+    mean = F.coalesce(total / F.size("samples"), F.lit(0.0))
+    best = F.struct((-F.round(mean, 12)).alias("s"), "root_id")
+    return rows.groupBy("key").agg(F.min(best).alias("b")).select("key", "b.root_id")
 
 
 def branch_groups(inputs: DataFrame, refs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """key, ord, root_id for all inputs: those without a target are dealt in turn to the groups, in
     order of the groups' first members; without any group all are ``general``."""
-    clear = best_branch(inputs, refs, target_branches(inputs, refs), settings).join(inputs.select("key", "ord"), "key")
+    # read four times below; a lost part is worked out again
+    clear = best_branch(inputs, refs, target_branches(inputs, refs), settings).join(inputs.select("key", "ord"), "key").persist()
     groups = clear.groupBy("root_id").agg(F.min("ord").alias("first"))
     # one row for each root of the reference
     turn = groups.withColumn("turn", F.row_number().over(Window.orderBy("first")) - 1).crossJoin(groups.agg(F.count("*").alias("groups")))
@@ -81,11 +89,12 @@ def round_robin(rows: DataFrame, order: str) -> DataFrame:
     return numbered(rows, order, "place")
 
 
-def numbered(rows: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
+def numbered(rows: DataFrame, order: str | list[str], name: str, start: int = 0) -> DataFrame:
     """Rows numbered in order without one task for all: range partitions are numbered inside and
-    shifted by the sizes of those before."""
-    spread = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    inside = spread.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
+    shifted by the sizes of those before. The partitions are held, as both steps have to see the same."""
+    order = [order] if isinstance(order, str) else order
+    spread = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    inside = spread.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = spread.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("__n")
     return inside.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__in") - 1 + start).drop("__part", "__in", "__before")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -37,6 +37,21 @@ def cosine(inputs: DataFrame, refs: DataFrame) -> DataFrame:
     return a.join(b, "term").groupBy("input", "ref").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
 
 
+def save(weights: DataFrame, model: DataFrame, path: str) -> None:
+    """An index as two tables: the references' weights by term, and the model."""
+    weights.write.mode("overwrite").parquet(f"{path.rstrip('/')}/weights")
+    model.write.mode("overwrite").parquet(f"{path.rstrip('/')}/model")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path.rstrip('/')}/weights"), spark.read.parquet(f"{path.rstrip('/')}/model")
+
+
+def info(weights: DataFrame, model: DataFrame) -> DataFrame:
+    """One row: references with a weight, terms of the model, weights."""
+    return weights.agg(F.countDistinct("key").alias("references"), F.count("*").alias("weights")).crossJoin(model.agg(F.count("*").alias("terms")))
+
+
 def nearest(inputs: DataFrame, refs: DataFrame, k: int = DEFAULT.vector_top, least: float = DEFAULT.vector_cosine) -> DataFrame:
     """The k best by cosine, of these those from ``least`` up."""
     w = Window.partitionBy("input").orderBy(F.col("score").desc(), "ref")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..config import DEFAULT
 from ..functions import similarity, text
 from ..functions.dictionaries import PART_HINTS, PART_SYNONYMS
 from ..operators import cache, candidates, monitor, report, resolver, routing, tfidf, tree
-from . import sql
+from . import pipelines, sql
 from .parts import IN_SQL, NAMES_SQL, REF_SQL, input_names, inputs, leaves, ref_names, ref_words, reference, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,9 +146,8 @@ def meaningful_words(spark, d):
 
 @query(f"WITH {REF_SQL}, {IN_SQL} SELECT lower(i.name) AS k, count(*) AS pairs FROM (SELECT lower(name) AS name, count(*) AS n FROM inp GROUP BY 1) i JOIN ref r ON lower(r.name) = i.name, range(i.n) GROUP BY 1")
 def exact_match(spark, d):
-    a = inputs(spark, d).groupBy(F.lower("name").alias("k")).agg(F.count("*").alias("n"))
-    b = reference(spark, d).groupBy(F.lower("name").alias("k")).agg(F.count("*").alias("m"))
-    return a.join(b, "k").select("k", (F.col("n") * F.col("m")).alias("pairs"))
+    met = candidates.exact(inputs(spark, d).select(F.col("name").alias("input")), reference(spark, d).select(F.col("name").alias("ref")))
+    return met.groupBy(F.lower("input").alias("k")).agg(F.count("*").alias("pairs"))
 
 
 @query(f"WITH {REF_SQL} SELECT lower(name) AS token, count(*) AS n, min(id) AS first FROM ref_tree WHERE is_leaf GROUP BY 1")
@@ -337,12 +337,6 @@ def candidate_merge_weighted(spark, d):
     return candidates.merge_weighted(k, n).withColumn("score", rounded("score"))
 
 
-@query(f"{_IDF}, {_NGRAM}, h AS (SELECT coalesce(ng.input, kw.input) AS input, coalesce(ng.ref, kw.ref) AS ref, ng.score AS v, kw.score AS k FROM ng FULL JOIN kw ON ng.input = kw.input AND ng.ref = kw.ref) SELECT input, ref, round(CASE WHEN count(k) OVER (PARTITION BY input) = 0 THEN v WHEN k IS NULL THEN v * 0.8::DOUBLE ELSE coalesce(v, 0) * 0.6::DOUBLE + k * 0.4::DOUBLE END, 6) AS score FROM h")
-def hybrid_score(spark, d):
-    _, k, n = _hits(spark, d)
-    return candidates.hybrid(n, k).withColumn("score", rounded("score"))
-
-
 def _hint_sql(x: str) -> str:
     parts = [f"CASE WHEN {' OR '.join(f'contains({x}, {chr(39)}{w}{chr(39)})' for w in [k, *v])} THEN {sql.words([k, *v])} ELSE []::VARCHAR[] END" for k, v in PART_HINTS.items()]
     return f"list_distinct(list_concat({', '.join(parts)}))"
@@ -359,14 +353,6 @@ def topk_per_input(spark, d):
     return candidates.top(hits.withColumn("score", rounded("score", 9)), 5).select("input", "ref", "rank")
 
 
-@query(f"{_IDF}, {_NGRAM}, u AS (SELECT input, ref, 0 AS source, round(score, 9) AS score FROM kw UNION ALL SELECT input, ref, 1, round(score, 9) FROM ng), o AS (SELECT input, ref, source, score, row_number() OVER (PARTITION BY input, ref ORDER BY source, score DESC) AS q FROM u), f AS (SELECT o.input, o.ref, source, row_number() OVER (PARTITION BY o.input ORDER BY source, score DESC, ref_ord) AS rank FROM o JOIN refs USING (ref) WHERE q = 1) SELECT input, ref, source, rank::INTEGER AS rank FROM f WHERE rank <= 25")
-def vector_backfill(spark, d):
-    _, k, n = _hits(spark, d)
-    order = ref_names(spark, d).select("ref", "ref_ord")
-    with_order = lambda h: h.withColumn("score", rounded("score", 9)).join(order, "ref")
-    return candidates.vector_backfill(with_order(k), with_order(n)).select("input", "ref", "source", "rank")
-
-
 # ---- TF-IDF and vectors ------------------------------------------------------------------------
 
 _TFIDF = f"""WITH docs AS (SELECT item_id AS key, text AS name FROM benchmark),
@@ -400,13 +386,13 @@ def _vector_hits(spark, d):
 
 
 @query(f"{_IDF}, {_VECTOR}, h AS (SELECT coalesce(vec.input, kw.input) AS input, coalesce(vec.ref, kw.ref) AS ref, vec.score AS v, kw.score AS k FROM vec FULL JOIN kw ON vec.input = kw.input AND vec.ref = kw.ref) SELECT input, ref, round(CASE WHEN count(k) OVER (PARTITION BY input) = 0 THEN v WHEN k IS NULL THEN v * 0.8::DOUBLE ELSE coalesce(v, 0) * 0.6::DOUBLE + k * 0.4::DOUBLE END, 6) AS score FROM h")
-def hybrid_score_tfidf(spark, d):
+def hybrid_score(spark, d):
     k = candidates.idf_keywords(input_names(spark, d), ref_names(spark, d))
     return candidates.hybrid(_vector_hits(spark, d), k).withColumn("score", rounded("score"))
 
 
 @query(f"{_IDF}, {_VECTOR}, u AS (SELECT input, ref, 0 AS source, round(score, 9) AS score FROM kw UNION ALL SELECT input, ref, 1, round(score, 9) FROM vec), o AS (SELECT input, ref, source, score, row_number() OVER (PARTITION BY input, ref ORDER BY source, score DESC) AS q FROM u), f AS (SELECT o.input, o.ref, source, row_number() OVER (PARTITION BY o.input ORDER BY source, score DESC, ref_ord) AS rank FROM o JOIN refs USING (ref) WHERE q = 1) SELECT input, ref, source, rank::INTEGER AS rank FROM f WHERE rank <= 25")
-def vector_backfill_tfidf(spark, d):
+def vector_backfill(spark, d):
     order = ref_names(spark, d).select("ref", "ref_ord")
     with_order = lambda h: h.withColumn("score", rounded("score", 9)).join(order, "ref")
     k = candidates.idf_keywords(input_names(spark, d), ref_names(spark, d))
@@ -556,6 +542,27 @@ def resolve_offline(spark, d):
     return resolver.offline(hits).withColumn("confidence", rounded("confidence"))
 
 
+def _first_id(prompt: str) -> str:
+    """A matcher: the first reference listed, for the first input; every tenth branch answers nothing."""
+    found = re.search(r"ID: (\d+), Name", prompt)
+    return "sorry" if found is None or int(found[1]) % 10 == 9 else f'{{"matches": [{{"index": 1, "matched_id": "{found[1]}", "confidence": 0.9}}]}}'
+
+
+@query("WITH b AS (SELECT s_nationkey, floor((row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) / 15)::BIGINT AS batch_id FROM supplier) SELECT DISTINCT s_nationkey, batch_id, 1 AS index, s_nationkey::VARCHAR AS matched_id, 0.9::DOUBLE AS confidence FROM b WHERE s_nationkey % 10 <> 9 AND s_nationkey IN (SELECT n_nationkey FROM nation)")
+def llm_resolve(spark, d):
+    """Requests through a matcher and its answers back."""
+    return resolver.parsed(resolver.resolve(prompt_build(spark, d), _first_id)).select("s_nationkey", "batch_id", "index", "matched_id", "confidence")
+
+
+@query("SELECT user_id::VARCHAR AS input_id, CASE WHEN user_id % 3 > 0 THEN max(event_type) END AS match_id, CASE WHEN user_id % 3 > 0 THEN 0.5 ELSE 0 END::DOUBLE AS confidence FROM events GROUP BY user_id")
+def llm_id_join(spark, d):
+    """Two answers name an id, of which the last counts; a third of the rows has none."""
+    users = table(spark, d, "events").groupBy(F.col("user_id")).agg(F.min("event_type").alias("low"), F.max("event_type").alias("high"))
+    said = lambda c, p: F.concat(F.lit('{"input_id": "'), F.col("user_id").cast("string"), F.lit('", "match_id": "'), F.col(c), F.lit(f'", "confidence": {p}}}'))
+    answers = users.where("user_id % 3 > 0").select(F.concat(F.lit('{"matches": ['), said("low", 0.9), F.lit(", "), said("high", 0.5), F.lit("]}")).alias("answer"))
+    return resolver.by_id(users.select(F.col("user_id").cast("string").alias("input_id")), resolver.parsed(answers)).select("input_id", "match_id", "confidence")
+
+
 # ---- results ------------------------------------------------------------------------------------------
 
 # orders as matches: priority as name, status as id, price as confidence
@@ -585,9 +592,10 @@ def unmatched_by_name(spark, d):
     return report.unmatched_by_name(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("name")), _matches(spark, d))
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def unmatched_by_id(spark, d):
-    return report.unmatched_by_id(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), table(spark, d, "orders").select(F.col("o_custkey").alias("input_id")))
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("input_id"))
+    return report.unmatched_by_id(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), urgent)
 
 
 @query(f"WITH {_MATCHES} SELECT ord, match_id, coalesce(nullif(match_name, ''), c_name) AS match_name, CASE WHEN c_custkey IS NULL THEN '' ELSE 'N>' || c_custkey END AS match_path, confidence FROM m LEFT JOIN customer ON c_custkey::VARCHAR = match_id")
@@ -630,6 +638,38 @@ def result_summary(spark, d):
     return report.summary(doc)
 
 
+@query(f"WITH {_MATCHES} SELECT count(*) FILTER (NOT EXISTS (SELECT 1 FROM m WHERE match_id <> 'null' AND confidence >= 0.7 AND input_name = c_custkey::VARCHAR)) AS total_unmatched, 0.7::DOUBLE AS confidence_threshold FROM customer")
+def unmatched_export(spark, d):
+    rows = report.enrich(_matches(spark, d), _customers(spark, d)).withColumn("reasoning", F.lit(""))
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("name"))
+    out = report.unmatched_only(report.document(rows, people, DEFAULT, 0, 0, 0.0, "now"))
+    return out.select(F.size("unmatched").cast("long").alias("total_unmatched"), "confidence_threshold")
+
+
+@query(_ROUTE + ", x AS (SELECT i.id, CASE WHEN n_refs = 1 OR s > 0.3 THEN best.id END AS match_id FROM inp_tree i LEFT JOIN best ON best.k = lower(i.name) AND best.ip = i.full_path AND r = 1 WHERE i.is_leaf), c AS (SELECT count(*) AS n, count(match_id) AS e FROM x) SELECT printf('Hierarchical matching - now%sInputs: %d%sExact: %d (%.1f%%)%sBy matcher: 0 (0.0%%)%sUnmatched: %d (%.1f%%)%sMatch rate: %.1f%%%sRequests: 2%sSaved: %.1f%%%sTime: 1.50s', chr(10), n, chr(10), e, e * 100.0 / n, chr(10), chr(10), n - e, (n - e) * 100.0 / n, chr(10), e * 100.0 / n, chr(10), chr(10), (n - 50) * 100.0 / n, chr(10)) AS summary FROM c")
+def hierarchical_summary(spark, d):
+    """The exact routes alone as results."""
+    routed = routing.exact_router(leaves(inputs(spark, d)), leaves(reference(spark, d)))
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    rows = routed.select(F.col("id").alias("input_id"), F.col("name").alias("input_name"), F.col("path").alias("input_path"), F.col("full_path").alias("input_full_path"), "match_id", *none("match_name", "match_path", "match_full_path", "reasoning"), "confidence", F.coalesce("match_method", F.lit("none")).alias("match_method"))
+    return report.hierarchical_summary(report.hierarchical_document(rows, 2, 1.5, "now"))
+
+
+@query()
+def hierarchical_pipeline(spark, d):
+    return pipelines.hierarchical(inputs(spark, d), reference(spark, d)).select("input_id", "match_id", rounded("confidence").alias("confidence"), "match_method")
+
+
+@query()
+def flat_pipeline(spark, d):
+    return pipelines.flat(inputs(spark, d), leaves(reference(spark, d)), synonyms=PART_SYNONYMS, hints=PART_HINTS).select("ord", "input_name", "match_id", rounded("confidence").alias("confidence"))
+
+
+@query()
+def automatic_pipeline(spark, d):
+    return pipelines.automatic(inputs(spark, d), reference(spark, d), synonyms=PART_SYNONYMS).select("input_id", "match_id", rounded("confidence").alias("confidence"), "processing_method")
+
+
 # ---- caches --------------------------------------------------------------------------------------------
 
 _NOW = "(SELECT max(ts) FROM events)"
@@ -658,9 +698,9 @@ def lru_evict(spark, d):
     return cache.evict(_entries(spark, d), DEFAULT.cache_entries).select("entry")
 
 
-@query("SELECT user_id AS key, event_id AS entry FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r > n // 4")
+@query("SELECT user_id AS key, event_id AS entry FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r, count(*) OVER () AS n FROM events) WHERE r > n // 4")
 def evict_quarter(spark, d):
-    return cache.evict_share(_entries(spark, d), by="key").select("key", "entry")
+    return cache.evict_share(_entries(spark, d)).select("key", "entry")
 
 
 @query(f"SELECT count(*) AS entries, sum(length(props))::BIGINT AS total_size, count(*) FILTER (ts >= {_NOW} - INTERVAL 3600 SECONDS) AS active FROM events")
@@ -674,6 +714,22 @@ def cache_misses(spark, d):
     return misses.groupBy("key").agg(F.count("*").alias("misses"))
 
 
+@query(f"WITH e AS (SELECT user_id AS key, max(ts) AS t FROM events GROUP BY 1), n AS (SELECT key FROM e WHERE key % 2 = 0 AND t >= {_NOW} - INTERVAL 864000 SECONDS), f AS (SELECT key FROM e WHERE t >= {_NOW} - INTERVAL 864000 SECONDS), q AS (SELECT DISTINCT o_custkey AS key FROM orders) SELECT q.key, CASE WHEN n.key IS NOT NULL THEN 1 ELSE 2 END AS level FROM q JOIN f USING (key) LEFT JOIN n USING (key)")
+def cache_levels(spark, d):
+    far = _entries(spark, d).groupBy("key").agg(F.max("entry").alias("entry"), F.max("created_at").alias("created_at"), F.max("accessed_at").alias("accessed_at"))
+    hits, _, _ = cache.two_levels(table(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct(), far.where("key % 2 = 0"), far, _now(spark, d), 864000, DEFAULT.cache_entries)
+    return hits.select("key", "level")
+
+
+@query("SELECT user_id AS key, max(event_id) AS entry FROM events WHERE user_id % 3 <> 0 GROUP BY 1 UNION ALL SELECT s_suppkey, -s_suppkey FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 5 <> 0")
+def cache_put(spark, d):
+    """Entries put in the place of others, and some deleted."""
+    old = _entries(spark, d).groupBy("key").agg(F.max("entry").alias("entry")).where("key % 3 <> 0")
+    new = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("key"), (-F.col("s_suppkey")).alias("entry"))
+    stale = new.select("key", F.lit(0).cast("long").alias("entry"))
+    return cache.delete(cache.put(old.unionByName(stale), new), new.where("key % 5 = 0"))
+
+
 @query("SELECT user_id, md5(string_agg(event_type, chr(10) ORDER BY event_type) || '|' || count(DISTINCT event_type)) AS key FROM events GROUP BY 1")
 def cache_key(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("l"), F.countDistinct("event_type").alias("n")).select("user_id", cache.batch_key(F.col("l"), F.col("n")).alias("key"))
@@ -720,6 +776,13 @@ def history_stats(spark, d):
     return monitor.history(_sessions(spark, d)).select("sessions", "processed", "matched", rounded("seconds", 4).alias("seconds"), rounded("match_rate").alias("match_rate"), rounded("processing_speed").alias("processing_speed"), "per_session")
 
 
+@query(f"WITH {_SESSION}, r AS (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100), l AS (SELECT * FROM s ORDER BY session DESC LIMIT 10) SELECT (SELECT count(*) FROM r) AS metrics, (SELECT sum(event_id) FROM r)::BIGINT AS ids, (SELECT max(session) FROM s) AS session, (SELECT sum(processed) FROM l)::BIGINT AS processed")
+def metrics_export(spark, d):
+    out = monitor.export(_metrics(spark, d), _sessions(spark, d), "now", 100, ("ts", "event_id"))
+    ids = F.aggregate("recent_metrics", F.lit(0).cast("long"), lambda n, m: n + m["event_id"])
+    return out.select(F.size("recent_metrics").cast("long").alias("metrics"), ids.alias("ids"), F.col("current_session.session").alias("session"), F.col("historical_stats.processed").alias("processed"))
+
+
 @query("SELECT event_type, count(*) AS runs, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS greatest, round(coalesce(stddev_samp(value), 0), 6) AS deviation FROM events GROUP BY 1")
 def benchmark_stats(spark, d):
     return monitor.benchmark(table(spark, d, "events"), "event_type", "value").select("event_type", "runs", rounded("mean").alias("mean"), "least", "greatest", rounded("deviation").alias("deviation"))
@@ -731,6 +794,32 @@ def recommendations(spark, d):
     return _sessions(spark, d).select("session", F.array_join(r, "; ").alias("advice"))
 
 
-@query("SELECT coalesce(a.event_type, b.event_type) AS event_type, coalesce(n, 0) AS n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) a FULL JOIN (SELECT DISTINCT event_type FROM events) b ON a.event_type = b.event_type")
+_BATCH_WORDS = f"list_distinct(list_filter({sql.meaningful(sql.normalize('{0}'))}, lambda w: w NOT IN ('все', 'товары')))"
+
+
+@query(f"WITH {NAMES_SQL}, b AS (SELECT s_nationkey AS batch_id, s_name || ' ' || p_type AS input FROM supplier JOIN part ON p_partkey = s_suppkey), m AS (SELECT DISTINCT batch_id, unnest({_BATCH_WORDS.replace('{0}', 'input')}) AS t FROM b), r AS (SELECT ref, ref_ord, unnest({_BATCH_WORDS.replace('{0}', 'ref')}) AS t FROM (SELECT p_type || ' ' || p_name AS ref, min(p_partkey) AS ref_ord FROM part GROUP BY 1)), c AS (SELECT batch_id, ref, ref_ord, count(*) AS shared FROM m JOIN r USING (t) GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY shared DESC, ref_ord) AS rank FROM c) SELECT batch_id, ref, shared, rank::INTEGER AS rank FROM o WHERE rank <= 100")
+def relevant_references(spark, d):
+    part = table(spark, d, "part")
+    batched = table(spark, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("batch_id"), F.concat_ws(" ", "s_name", "p_type").alias("input"))
+    refs = part.groupBy(F.concat_ws(" ", "p_type", "p_name").alias("ref")).agg(F.min("p_partkey").alias("ref_ord"))
+    return candidates.relevant(batched, refs).select("batch_id", "ref", "shared", "rank")
+
+
+@query(
+    f"{_IDF}, {_VECTOR}, c1 AS (SELECT input, ref, row_number() OVER (PARTITION BY input ORDER BY round(score, 9) DESC, ref_ord) AS rank FROM kw JOIN refs USING (ref)), c2 AS (SELECT input, ref, rank FROM c1 WHERE rank <= 10), c3 AS (SELECT input, count(*) AS n FROM c2 GROUP BY 1), "
+    "c4 AS (SELECT input, ref, score, row_number() OVER (PARTITION BY input ORDER BY score DESC, ref) AS rank FROM vec), c5 AS (SELECT c4.*, coalesce(c3.n, 0) AS n FROM c4 LEFT JOIN c3 USING (input)), "
+    "c6 AS (SELECT input, ref, 'advanced_filter' AS match_type, 0.8::DOUBLE AS score, rank FROM c2 UNION ALL SELECT input, ref, 'vector_search', score, n + rank FROM c5 WHERE rank <= 10 - n AND NOT EXISTS (SELECT 1 FROM c2 WHERE c2.input = c5.input AND c2.ref = c5.ref)) "
+    "SELECT input, ref, match_type, round(score, 6) AS score, row_number() OVER (PARTITION BY input ORDER BY rank)::INTEGER AS rank FROM c6"
+)
+def optimized_cascade(spark, d):
+    """The keyword tier stands for the funnel, which has no SQL; vectors fill up."""
+    k = candidates.idf_keywords(input_names(spark, d), ref_names(spark, d)).withColumn("score", rounded("score", 9))
+    found = candidates.top(k.join(ref_names(spark, d).select("ref", "ref_ord"), "ref"), 10)
+    near = candidates.top(_vector_hits(spark, d), 15, order="ref")
+    return candidates.filtered_then_vectors(found, near).withColumn("score", rounded("score"))
+
+
+@query(f"WITH {NAMES_SQL}, {_NGRAM}, c AS (SELECT inputs.input, count(ng.ref) AS n FROM inputs LEFT JOIN ng USING (input) GROUP BY 1) SELECT count(*) AS inputs, count(*) FILTER (n > 0) AS with_candidates, sum(n)::BIGINT AS candidates, round(avg(n), 6) AS mean, max(n) AS most FROM c")
 def candidate_statistics(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    hits = candidates.ngram_overlap(input_names(spark, d), ref_names(spark, d))
+    return candidates.statistics(hits, input_names(spark, d)).withColumn("mean", rounded("mean"))
