@@ -67,7 +67,8 @@ def _candidates(chunk: Chunk, cells: Cells, replies: list, width: int) -> Iterat
     pick = np.flatnonzero(here)
     if len(pick):
         at, doc = at[pick], doc[pick]
-        one, two = Rolling(width).of(chunk.one)[at], Rolling(width, BASE_2).of(chunk.two)[at]
+        other = chunk.one * np.uint64(0xFF51AFD7ED558CCD) ^ chunk.one >> np.uint64(29)
+        one, two = Rolling(width).of(chunk.one)[at], Rolling(width, BASE_2).of(other)[at]
         # 64 bits of one hash and 32 of another name the window; the low 32 say where it starts
         more = (two & np.uint64(0xFFFFFFFF00000000)) | (at - chunk.starts[doc]).astype(np.uint64)
         yield _own_repeats(one, more, chunk.ids[doc], chunk.marks[doc])
@@ -76,21 +77,23 @@ def _candidates(chunk: Chunk, cells: Cells, replies: list, width: int) -> Iterat
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """A kept table (doc_id, mark, runs): from where to where windows begin that some document with a smaller id has too.
 
-    Texts become chunks of word numbers with two independent hashes of each word. A chunk's windows
+    Texts become chunks of word numbers with a 64-bit hash of each word. A chunk's windows
     go into a count-min sketch, whose merged blocks answer which of them they estimate two or more
     of. As estimates are never too low, all truly repeated windows are among those. What a chunk's
     own documents settle is settled there; the rest are grouped by 96 bits of two hashes of the word
     sequence, which finds the smallest doc_id that has each.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "mark", "text")
-    chunks = chunked(texts, lower=False, twice=True)
-    found = answered(chunks, partial(_window_hashes, width=width), partial(_candidates, width=width), "k long, more long, doc_id long, mark long, runs array<int>")
+    chunks = chunked(texts, lower=False)
+    asked = answered(chunks, partial(_window_hashes, width=width), partial(_candidates, width=width), "k long, more long, doc_id long, mark long, runs array<int>")
+    found = keep(asked, "candidates")
+    drop(chunks), drop(asked._read)
     same = Window.partitionBy("k", F.shiftright("more", 32))
     first = F.min(F.when(F.col("runs").isNull(), F.col("doc_id"))).over(same)
     hit = found.withColumn("first", first).where("runs is not null or first < doc_id")
     start = F.col("more").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     runs = keep(hit.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(F.coalesce("runs", F.array(start, start)))).alias("runs")), "runs")
-    drop(chunks), drop(found._read)
+    drop(found)
     return runs
 
 
