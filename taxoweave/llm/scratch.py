@@ -33,9 +33,9 @@ def folder(spark: SparkSession) -> str:
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """An action inside deletes its shuffle files when it ends, as its result lies elsewhere by then, and
-    sends Python few rows at once, as they may hold whole sets or texts. Both are settings of the
-    session: one thread at a time."""
-    inside = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    sends Python few rows and few bytes at once, as they may hold whole sets, texts or chunks. These are
+    settings of the session: one thread at a time."""
+    inside = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
     before = {k: spark.conf.get(k, None) for k in inside}
     try:
         for k, v in inside.items():
