@@ -13,6 +13,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .memory import frugal
 from .scratch import keep
 
 #: Words of a chunk; a longer document is a chunk of its own.
@@ -45,6 +46,7 @@ class _Numbers(dict):
         return n
 
 
+@frugal
 def _chunks(batches: Iterable[pd.DataFrame], lower: bool, twice: bool) -> Iterator[pd.DataFrame]:
     place, made = TaskContext.get().partitionId(), 0
     digest = xxhash.xxh3_128_digest if twice else xxhash.xxh3_64_digest

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .chunks import Chunk, chunked, windows
 from .components import connected_components
 from .inputs import repeats_ids, spread, unused
+from .memory import frugal
 from .scratch import drop, keep
 from .sketch import Cells, answered
 from .words import Rolling, mixed, split
@@ -151,6 +152,7 @@ class PrefixTree:
         return {int(k): (x, y) for k, x, y in zip(t[np.append(0, cuts)] if len(t) else [], np.split(leaf, cuts), np.split(at, cuts))}
 
 
+@frugal
 def _search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order of (hub, part, kind): the hub's own set, then the sets to be tried against it."""
     at, probe, leaves = None, None, []
@@ -194,6 +196,7 @@ def _near(probe: np.ndarray, starts: dict[int, tuple[np.ndarray, np.ndarray]], s
     return leaf[last][9 * most >= 4 * (n + m)]
 
 
+@frugal
 def _tree_join(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order of (hub, band, part, lane, kind): the sets of a tree, then the sets to be tried against them.
 
@@ -225,6 +228,7 @@ def _tree_join(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["u", "v"])
 
 
+@frugal
 def _pair_join(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order of (g, part, kind): the sets of a tree, then the sets to be tried against them.
     Every linked pair comes out, once: from the probe with the larger number."""
@@ -407,6 +411,7 @@ def linked_pairs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return met.select(F.col("x.id").alias("class_id"), F.col("y.id").alias("other_id"), F.col("x.n").alias("n_shingles"), F.col("y.n").alias("other_shingles"), F.col("shared").alias("n_shared"))
 
 
+@frugal
 def _counted(batches: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         words = [[w.lower() for w in split(x)] for x in pdf["text"]]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .bpe import word_ids
 from .inputs import spread
+from .memory import frugal
 from .scratch import keep
 
 MAX_TOKENS = 4096
@@ -22,7 +23,7 @@ END_ID = 1
 #: Rows of one length are ranked in parts: of this many rows at least, and so that there are about PARTS parts at most.
 LEAST, PARTS = 500, 20_000
 #: Bytes of text that are tokenized together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -55,6 +56,7 @@ def _token_ids(texts: pa.Array, known) -> tuple[np.ndarray, np.ndarray]:
     return flat[at], np.bincount(of, many, minlength=len(texts)).astype(np.int64)
 
 
+@frugal
 def _pieces(batches: Iterable[pa.RecordBatch], path: str, most: int, end: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     known, last = word_ids(path), np.array([end], "<u4").tobytes()
     for batch in batches:
@@ -155,6 +157,7 @@ class Plan:
         return pd.DataFrame(rows, columns=["length", "first", "times", "sequence", "offset"]).sort_values(["length", "first"], ignore_index=True)
 
 
+@frugal
 def _place(batches: Iterable[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]:
     """The last column, a rank, becomes sequence_id and offset."""
     runs = {x: g.to_numpy() for x, g in places.value.groupby("length")}

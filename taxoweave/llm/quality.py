@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .inputs import filled, spread, unfilled
+from .memory import frugal
 from .words import mixed
 
 BUCKETS_BITS = 18
@@ -95,6 +96,7 @@ def _opened(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
 
 
+@frugal
 def _sample_features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each text its buckets, as steps from one to the next, and how often each is met."""
     for pdf in batches:
@@ -121,6 +123,7 @@ class _Examples(Sequence):
         return quality, np.cumsum(_opened(buckets), dtype=np.int32), weight / max(1, weight.sum())
 
 
+@frugal
 def _fit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One task has the whole sample, fits the model and gives what scoring needs of it."""
     rows = [r for pdf in batches for r in zip(pdf["quality"], pdf["buckets"], pdf["n"], strict=True)]
@@ -231,6 +234,7 @@ def scores(texts: Sequence[str | None], model: Scorer) -> np.ndarray:
     return 1 / (1 + np.exp(-(total / np.maximum(n, 1) + model.bias)))
 
 
+@frugal
 def _score(batches: Iterable[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pdf.drop(columns="text").assign(score=scores(list(pdf["text"]), shared.value))
@@ -250,6 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     return made.select("doc_id", held_out_by(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@frugal
 def _accepted(batches: Iterable[pa.RecordBatch], shared, threshold: float, at: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for a in range(0, whole.num_rows, TOGETHER):

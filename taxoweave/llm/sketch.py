@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunk, grouped, opened
+from .memory import frugal, give_back
 from .scratch import keep
 from .words import mixed
 
@@ -74,6 +75,7 @@ def _kind(x: np.ndarray):
     return np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32
 
 
+@frugal
 def _send(batches: Iterable[pd.DataFrame], hashes: Hashes, bits: int) -> Iterator[pd.DataFrame]:
     low = min(bits, BLOCK_BITS)
     pack = zstandard.ZstdCompressor(level=1)
@@ -91,6 +93,7 @@ def _send(batches: Iterable[pd.DataFrame], hashes: Hashes, bits: int) -> Iterato
             yield pd.DataFrame(out, columns=["row", "block", "chunk", "cells"])
 
 
+@frugal
 def _count(batches: Iterable[pd.DataFrame], bits: int, hot: int) -> Iterator[pd.DataFrame]:
     """All counts of a block, then an answer to each chunk that sent to it."""
     low = min(bits, BLOCK_BITS)
@@ -135,7 +138,10 @@ def answered(chunks: DataFrame, hashes: Hashes, run: Callable, schema: str, hot:
     return out
 
 
+@frugal
 def _meet(batches: Iterable[pd.DataFrame], hashes: Hashes, bits: int, run: Callable) -> Iterator[pd.DataFrame]:
     for _, rows in grouped(batches, "chunk"):
         chunk = opened(rows[0])
         yield from run(chunk, Cells(*hashes(chunk), bits), rows[1:])
+        del chunk
+        give_back()

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .chunks import Chunk, chunked, windows
 from .inputs import row_mark, spread, unused
+from .memory import frugal
 from .scratch import drop, keep
 from .sketch import Cells, answered
 from .words import BASE_2, Rolling, split
@@ -106,6 +107,7 @@ def kept(words: list[bytes], runs, width: int) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
 
 
+@frugal
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts, the last column, compressed more tightly than a shuffle would; all other columns as they are."""
     pack = zstandard.ZstdCompressor(level=1)
@@ -115,6 +117,7 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, batch.schema.names[at], pa.array(packed, pa.binary()))
 
 
+@frugal
 def _apply(batches: Iterable[pa.RecordBatch], width: int, with_text: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
     """The last two columns, compressed text and runs, become n_words, n_removed, kept_sha256 (and kept_text)."""
     unpack = zstandard.ZstdDecompressor()
