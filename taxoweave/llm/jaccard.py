@@ -430,11 +430,13 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     drop(small)
     label = label.select(F.col("node").alias("__node"), "component")
     named = classes.join(label, F.col("node") == F.col("__node"), "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
-    rows = sets.where("n > 0").join(named, ["f1", "f2"]).select("component", F.struct("doc_id", "mark").alias("row"))
+    rows = sets.where("n > 0").join(named, ["f1", "f2"])
+    if not many:  # a component's name is its smallest doc_id, so no group has to meet
+        later = rows.where("doc_id <> component").select(F.col("doc_id").alias(key))
+        return docs.join(later, F.col("doc_id") == F.col(key), "left_anti")
+    rows = rows.select("component", F.struct("doc_id", "mark").alias("row"))
     first = rows.groupBy("component").agg(F.min("row").alias("first"))
     later = rows.join(first, "component").where("row <> first").select(F.col("row.doc_id").alias(key), F.col("row.mark").alias(own)).distinct()
-    if not many:
-        return docs.join(later, F.col("doc_id") == F.col(key), "left_anti")
     left = docs.where("doc_id is not null").join(later, (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(own)), "left_anti")
     return left.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
