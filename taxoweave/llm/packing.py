@@ -23,7 +23,7 @@ END_ID = 1
 #: Rows of one length are ranked in parts: of this many rows at least, and so that there are about PARTS parts at most.
 LEAST, PARTS = 500, 20_000
 #: Bytes of text that are tokenized together.
-TOGETHER = 2 << 20
+TOGETHER = 4 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
