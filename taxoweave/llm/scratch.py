@@ -1,80 +1,5 @@
-"""Tables written between the steps of one operator.
+"""Tables written between the steps of one operator: the package's own."""
 
-They lie in the folder that the cluster names in ``spark.checkpoint.dir``, which all executors
-share, so a lost executor never takes an intermediate result with it.
-"""
+from ..scratch import drop, folder, keep, tidy
 
-from __future__ import annotations
-
-import atexit
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        named = tempfile.mkdtemp(prefix="scratch-")
-    else:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-@contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """An action inside deletes its shuffle files when it ends, as its result lies elsewhere by then, and
-    sends Python few rows and few bytes at once, as they may hold whole sets, texts or chunks. These are
-    settings of the session: one thread at a time."""
-    inside = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
-    before = {k: spark.conf.get(k, None) for k in inside}
-    try:
-        for k, v in inside.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    with tidy(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table of keep() that nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-@atexit.register
-def _clear() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended; the folder's owner cleans it
-            return
+__all__ = ["drop", "folder", "keep", "tidy"]

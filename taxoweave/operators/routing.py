@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import similarity, text
+from ..scratch import keep
 
 
 def path_matches(inputs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -72,8 +73,8 @@ def best_branch(inputs: DataFrame, refs: DataFrame, targets: DataFrame, settings
 def branch_groups(inputs: DataFrame, refs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """key, ord, root_id for all inputs: those without a target are dealt in turn to the groups, in
     order of the groups' first members; without any group all are ``general``."""
-    # read four times below; a lost part is worked out again
-    clear = best_branch(inputs, refs, target_branches(inputs, refs), settings).join(inputs.select("key", "ord"), "key").persist()
+    # read four times below, so written once
+    clear = keep(best_branch(inputs, refs, target_branches(inputs, refs), settings).join(inputs.select("key", "ord"), "key"), "clear")
     groups = clear.groupBy("root_id").agg(F.min("ord").alias("first"))
     # one row for each root of the reference
     turn = groups.withColumn("turn", F.row_number().over(Window.orderBy("first")) - 1).crossJoin(groups.agg(F.count("*").alias("groups")))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions import text
+from ..functions import similarity, text
 from ..functions.dictionaries import BASIC_SYNONYMS, BRANCH_HINTS, SYNONYMS
 from ..operators import candidates, report, resolver, routing, tfidf, tree
+from ..scratch import drop, keep
 
 Answerer = Callable[[str], str]
 
@@ -56,23 +57,40 @@ def flat(inputs: DataFrame, refs: DataFrame, settings: Settings = DEFAULT, answe
 _HIERARCHICAL = ("input_id", "input_name", "input_path", "input_full_path", "match_id", "match_name", "match_path", "match_full_path", "confidence", "reasoning", "match_method")
 
 
+def best_in_branch(grouped: DataFrame, ref_tree: DataFrame) -> DataFrame:
+    """key, match_id, confidence: of all nodes of the input's branch the one whose path shares most words, leaves
+    first, then in order, on ties; inputs that share none are left out.
+
+    Paths of the same words score alike, so on either side each such class is compared once."""
+    words = lambda: F.array_sort(text.path_words(F.col("full_path")))
+    mine = grouped.select("key", "root_id", words().alias("mine"))
+    first = F.min(F.struct((~F.col("is_leaf")).alias("inner"), "ord", "id"))
+    theirs = ref_tree.groupBy(text.root_of(F.col("path_ids")).alias("root_id"), words().alias("theirs")).agg(first.alias("r"))
+    pairs = mine.select("root_id", "mine").distinct().join(theirs, "root_id").withColumn("s", similarity.set_jaccard(F.col("mine"), F.col("theirs"))).where("s > 0")
+    best = pairs.groupBy("root_id", "mine").agg(F.min(F.struct((-F.col("s")).alias("s"), "r")).alias("m"))
+    of_key = mine.join(best, ["root_id", "mine"]).groupBy("key").agg(F.min("m").alias("m"))  # ids may repeat
+    return of_key.select("key", F.col("m.r.id").alias("match_id"), (-F.col("m.s")).alias("confidence"))
+
+
 def hierarchical(inputs: DataFrame, refs: DataFrame, settings: Settings = DEFAULT, answer: Answerer | None = None) -> DataFrame:
     """A row for each input leaf: settled by name and path, else by its branch's request (or, without
-    ``answer``, by the best path in its branch), else ``none``."""
+    ``answer``, by the best path in its branch), else ``none``.
+
+    Rows, trees and routes are written once each: every later step reads them several times, and a plan that
+    holds them all as subplans takes more of the driver than its memory, whatever the number of rows."""
     keyed = lambda t: t.where("is_leaf").withColumn("key", F.col("id"))
-    ref_tree = tree.build(refs)
-    mine, theirs = keyed(tree.build(inputs)), keyed(ref_tree)
-    routed = routing.exact_router(mine, theirs, settings)
+    read = [keep(refs, "refs"), keep(inputs, "inputs")]
+    ref_tree, mine = keep(tree.build(read[0]), "ref_tree"), keep(keyed(tree.build(read[1])), "input_leaves")
+    theirs = keyed(ref_tree)
+    routed = keep(routing.exact_router(mine, theirs, settings), "routed")
+    for done in (*read, mine):
+        drop(done)
     left = routed.where("match_id is null").drop("confidence", "match_id", "match_method")
     grouped = left.join(routing.branch_groups(left, theirs, settings).select("key", "root_id"), "key")
-    # only a prompt has to be short
-    context = tree.branch_context(ref_tree, None if answer is None else settings.branch_context)
     if answer is None:
-        pairs = grouped.select("key", text.path_words(F.col("full_path")).alias("a"), "root_id").join(context.select("root_id", F.col("id").alias("match_id"), "place", text.path_words(F.col("full_path")).alias("b")), "root_id")
-        scored = pairs.withColumn("s", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).where("s > 0")
-        best = scored.groupBy("key").agg(F.min(F.struct((-F.col("s")).alias("s"), "place", "match_id")).alias("m")).select("key", "m.match_id", (-F.col("m.s")).alias("confidence"))
-        best = best.withColumn("reasoning", F.lit("best path in the branch"))
+        best = best_in_branch(grouped, ref_tree).withColumn("reasoning", F.lit("best path in the branch"))
     else:
+        context = tree.branch_context(ref_tree, settings.branch_context)  # a prompt has to be short
         batched = routing.batches(grouped, "ord", settings.batch_size, "root_id").select("root_id", "batch_id", "ord", "name", "key")
         ask = resolver.prompts(batched.select("root_id", "batch_id", "ord", "name"), context.select("root_id", "ord", "id", "name", "place"), ["root_id", "batch_id"], settings.branch_context)
         said = resolver.parsed(resolver.resolve(ask, answer)).where("index is not null")

@@ -120,6 +120,31 @@ def test_best_path_may_be_late_in_its_branch(spark):
     assert got == {"b": "best"}
 
 
+def test_hierarchical_plan_stays_small(spark):
+    """The driver holds every subplan; before tables were written in between there were thousands of nodes."""
+    schema = "ord long, id string, name string, path string"
+    refs = spark.createDataFrame([(0, "1", "Tools", "1"), (1, "2", "Hand saw", "1>2"), (2, "3", "Drill", "1>3")], schema)
+    inputs = spark.createDataFrame([(0, "a", "Tools", "a"), (1, "b", "Drill", "a>b"), (2, "c", "Saws hand", "a>c")], schema)
+    nodes = lambda df: df._jdf.queryExecution().analyzed().treeString().count("\n")
+    assert nodes(pipelines.hierarchical(inputs, refs)) < 300
+    assert nodes(pipelines.hierarchical(inputs, refs, answer=lambda prompt: "{}")) < 500
+
+
+def test_best_in_branch_by_classes_of_paths(spark):
+    """Repeated paths, empty paths, repeated ids: as by comparing each input with each node of its branch."""
+    nodes = [(i, f"n{i}", f"p{i % 3}", f"r{i % 2}>n{i}", [f"r{i % 2}", f"n{i}"], i % 4 == 0, ["Red Bolts", "red  nut", "", "bolts > red"][i // 2 % 4]) for i in range(24)]
+    tree_rows = spark.createDataFrame(nodes, "ord long, id string, name string, path string, path_ids array<string>, is_leaf boolean, full_path string")
+    given = [("a", "r0", "red bolts"), ("a", "r0", "red bolts"), ("b", "r1", "nut"), ("c", "r0", ""), ("d", "r1", "zzz"), ("e", "general", "red"), ("f", "r1", "RED bolts")]
+    got = pipelines.best_in_branch(spark.createDataFrame(given, "key string, root_id string, full_path string"), tree_rows).collect()
+    expected = {}
+    for key, root, path in given:
+        a = set(path.lower().split())
+        scored = [(-len(a & b) / len(a | b), not leaf, o, i) for o, i, _, _, ids, leaf, full in nodes if ids[0] == root and a & (b := set(full.lower().split()))]
+        if scored:
+            expected[key] = (min(scored)[3], -min(scored)[0])
+    assert {r.key: (r.match_id, r.confidence) for r in got} == expected and len(got) == len(expected) == 3
+
+
 def test_flat_fills_up_with_vector_hits(spark):
     from dataclasses import replace
 
