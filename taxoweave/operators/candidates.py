@@ -26,8 +26,13 @@ def token_pairs(inputs: DataFrame, refs: DataFrame, tokens: str = "tokens") -> D
 
 
 def exact(inputs: DataFrame, refs: DataFrame) -> DataFrame:
-    """Pairs with equal names but for case."""
-    return inputs.withColumn("k", F.lower("input")).join(refs.withColumn("k", F.lower("ref")), "k").drop("k")
+    """input, ref, pairs: names that are equal but for case, and how many pairs of rows have them.
+
+    inputs: input; refs: ref. Rows of one name are a class, which the name itself tells: classes meet once
+    each, and their rows aren't paired one by one."""
+    a = inputs.groupBy("input").agg(F.count("*").alias("n")).withColumn("k", F.lower("input"))
+    b = refs.groupBy("ref").agg(F.count("*").alias("m")).withColumn("k", F.lower("ref"))
+    return a.join(b, "k").select("input", "ref", (F.col("n") * F.col("m")).alias("pairs"))
 
 
 def keyword_jaccard(inputs: DataFrame, refs: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def meaningful_words(spark, d):
 @query(f"WITH {REF_SQL}, {IN_SQL} SELECT lower(i.name) AS k, count(*) AS pairs FROM (SELECT lower(name) AS name, count(*) AS n FROM inp GROUP BY 1) i JOIN ref r ON lower(r.name) = i.name, range(i.n) GROUP BY 1")
 def exact_match(spark, d):
     met = candidates.exact(inputs(spark, d).select(F.col("name").alias("input")), reference(spark, d).select(F.col("name").alias("ref")))
-    return met.groupBy(F.lower("input").alias("k")).agg(F.count("*").alias("pairs"))
+    return met.groupBy(F.lower("input").alias("k")).agg(F.sum("pairs").alias("pairs"))
 
 
 @query(f"WITH {REF_SQL} SELECT lower(name) AS token, count(*) AS n, min(id) AS first FROM ref_tree WHERE is_leaf GROUP BY 1")

@@ -31,6 +31,19 @@ def test_smart_matches(inputs, refs):
     }
 
 
+def test_exact_pairs_classes_and_not_rows(spark):
+    """Four hundred thousand equal names on either side: 160 billion pairs, which one by one would take hours."""
+    from pyspark.sql import functions as F
+
+    rows = [("Bolt",), ("bolt",), ("bolt",), ("nut",), (None,), ("",)]
+    inputs = spark.createDataFrame(rows, "input string")
+    refs = spark.createDataFrame([("BOLT",), ("bolt",), ("bolt",), ("Nuts",), (None,), ("",), ("",)], "ref string")
+    got = {(r.input, r.ref): r.pairs for r in candidates.exact(inputs, refs).collect()}
+    assert got == {("Bolt", "BOLT"): 1, ("Bolt", "bolt"): 2, ("bolt", "BOLT"): 2, ("bolt", "bolt"): 4, ("", ""): 2}
+    many = spark.range(400_000).select(F.lit("Bolt").alias("input"))
+    assert [(r.ref, r.pairs) for r in candidates.exact(many, many.select(F.lower("input").alias("ref"))).collect()] == [("bolt", 160_000_000_000)]
+
+
 def test_automatic_match_takes_the_first_and_not_the_best(spark):
     refs = spark.createDataFrame([("масла", 1), ("масло", 2)], "ref string, ref_ord int")
     inputs = spark.createDataFrame([("Масло",), ("zzz",)], "input string")
